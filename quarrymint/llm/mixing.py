@@ -104,7 +104,8 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame, tot
 
     Each source of ``targets`` gets ``target_share`` of ``total_tokens`` (by default all tokens of the listed sources).
     A source with too few tokens has all its records repeated, the last time in part, but no record comes more than
-    ``max_repeats`` times; what it lacks is in the report. Sources are compared in one spelling; records of a source that
+    ``max_repeats`` times; what it lacks is in the report, beside its share of the total asked for (share_of_total) and of
+    the mixture as it came out (actual_share, higher for the others where a source lacks tokens). Sources are compared in one spelling; records of a source that
     is not listed, null or blank are in no target and stay out, and the report counts them under a null source. Records
     without tokens belong to the mixture where their hash does. Which records are kept depends on their key's hash alone.
     """
@@ -139,6 +140,7 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame, tot
             F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
             F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
             F.round(F.try_divide(F.coalesce("mixed_tokens", F.lit(0)).cast("double"), F.col("all_tokens")), 6).alias("actual_share"),
+            F.round(F.try_divide(F.coalesce("mixed_tokens", F.lit(0)) * F.col("target_share"), F.col("budget")), 6).alias("share_of_total"),
             F.round(F.greatest(F.lit(0.0), F.col("budget") - F.coalesce("mixed_tokens", F.lit(0))), 3).alias("lacking_tokens"),
         )
     )

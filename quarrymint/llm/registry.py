@@ -7,6 +7,8 @@ import importlib.util
 
 MODULES = (
     "topn_queries",
+    "split_queries",
+    "overlap_queries",
     "packing_queries",
     "mixing_queries",
     "chunking_queries",
