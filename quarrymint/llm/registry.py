@@ -6,6 +6,7 @@ import importlib
 import importlib.util
 
 MODULES = (
+    "neighbour_queries",
     "topn_queries",
     "split_queries",
     "overlap_queries",
