@@ -8,6 +8,7 @@ import importlib.util
 MODULES = (
     "neighbour_queries",
     "topn_queries",
+    "parsing_queries",
     "split_queries",
     "overlap_queries",
     "packing_queries",
