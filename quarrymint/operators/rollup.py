@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by_dimensions(df: DataFrame, dimensions: Mapping[str, Column | None], *aggregates: Column) -> DataFrame:
@@ -78,10 +79,11 @@ def confusion(df: DataFrame, expected: Column, predicted: Column) -> DataFrame:
 
 def histogram(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     """Value counts of several fields in one pass; array fields count their elements."""
-    parts = []
-    for name, c in fields.items():
-        values = c if isinstance(df.select(c).schema[0].dataType, type(df.select(F.array(F.lit(""))).schema[0].dataType)) else F.array(c.cast("string"))
-        parts.append(F.transform(F.coalesce(values, F.array()), lambda v, name=name: F.struct(F.lit(name).alias("field"), v.cast("string").alias("value"))))
+    def entries(name: str, c: Column) -> Column:
+        values = c if isinstance(df.select(c).schema[0].dataType, T.ArrayType) else F.array(c.cast("string"))
+        return F.transform(F.coalesce(values, F.array()), lambda v: F.struct(F.lit(name).alias("field"), v.cast("string").alias("value")))
+
+    parts = [entries(name, c) for name, c in fields.items()]
     return df.select(F.explode(F.concat(*parts)).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
 
 
