@@ -85,4 +85,5 @@ def top_n(
         if b <= len(cuts):
             full = cut(reduce(DataFrame.unionByName, won).groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") >= n).select("group_key"), "topn-full")
             full_count = full.count()
-    return ranked(reduce(DataFrame.unionByName, won)).select(F.col("__id").alias(key), "group_key", "rank")
+    name = key if key not in ("group_key", "rank") else f"{key}_"
+    return ranked(reduce(DataFrame.unionByName, won)).select(F.col("__id").alias(name), "group_key", "rank")
