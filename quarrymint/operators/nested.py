@@ -74,35 +74,48 @@ def child_table(df: DataFrame, key: str, path: Sequence[str]) -> DataFrame:
     cur = df
     links = [F.col(f"`{key}`").cast("string").alias("__root"), F.array().cast("array<long>").alias("__pos")]
     started = False
+
+    def explode(value: Column) -> None:
+        nonlocal cur, started
+        keep = links if not started else [F.col("__root"), F.col("__pos")]
+        out = cur.select(*keep, F.posexplode(value).alias("__p", "__v"))
+        cur = out.select("__root", F.concat("__pos", F.array((F.col("__p") + 1).cast("long"))).alias("__pos"), "__v")
+        started = True
+
     while True:
-        # walk struct steps up to the next array or map
-        while isinstance(kind, T.StructType):
-            if not steps:
-                break
+        while isinstance(kind, T.StructType) and steps:  # struct steps up to the next array or map
             name = steps.pop(0)
-            f = kind[name]
             value = F.col(f"`{name}`") if value is None else value[name]
-            kind = f.dataType
-        if not isinstance(kind, (T.ArrayType, T.MapType)):
-            break
+            kind = kind[name].dataType
         if isinstance(kind, T.MapType):
             value = F.array_sort(F.map_entries(value))
             kind = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
-        keep = links if not started else [F.col("__root"), F.col("__pos")]
-        cur = cur.select(*keep, F.posexplode(value).alias("__p", "__v"))
-        cur = cur.select("__root", F.concat("__pos", F.array((F.col("__p") + 1).cast("long"))).alias("__pos"), "__v")
-        started = True
-        kind, value = kind.elementType, F.col("__v")
-        if steps and steps[0] == "[]" and isinstance(kind, (T.ArrayType, T.MapType)):
-            steps.pop(0)
+        if not isinstance(kind, T.ArrayType):
+            raise ValueError(f"{'.'.join(path)} is no array or map")
+        kind = kind.elementType
         if not steps:
             break
-    if not started:
-        raise ValueError(f"{'.'.join(path)} is no array or map")
+        # a field is taken through the array before it is exploded, so that the scan reads that field alone
+        while isinstance(kind, T.StructType) and steps:
+            name = steps.pop(0)
+            value, kind = value[name], kind[name].dataType
+        if steps and steps[0] == "[]":
+            steps.pop(0)
+        explode(value)
+        value = F.col("__v")
+        if not steps and not isinstance(kind, (T.ArrayType, T.MapType)):
+            raise ValueError(f"{'.'.join(path)} is no array or map")
+    cols = _scalars(kind, value, "")
+    if isinstance(kind, T.StructType) and cols:
+        explode(F.arrays_zip(*[c for _, c in cols]))
+        zipped = cur.schema["__v"].dataType.names
+        cols = [(n, F.col("__v")[z]) for (n, _), z in zip(cols, zipped, strict=True)]
+    else:
+        explode(value)
+        cols = _scalars(kind, F.col("__v"), "")
     pos = F.col("__pos")
     ords = F.transform(pos, lambda x: x.cast("string"))
     parent = F.concat_ws("/", F.col("__root"), F.slice(ords, 1, F.greatest(F.size(pos) - 1, F.lit(0))))
-    cols = _scalars(kind, value, "")
     taken = {"parent_key", "ordinal", "row_key", "root_key", "positions"}
     names = _unique([n for n, _ in cols], taken)
     return cur.select(

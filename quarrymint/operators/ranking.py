@@ -23,17 +23,17 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name:
 
     Rows are range-partitioned by (group, order), so a hot group lies on several tasks; each (group, partition) is numbered
     by itself and moved by the group's counts on the partitions before. The order must be total. Null keys are a group."""
-    keys = [F.col(f"`{g}`") for g in group]
-    ranged = cut(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "numbered")
-    counts = ranged.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(f"`{g}`").alias(f"__{g}") for g in group], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy(*group, "__part").orderBy(*order)
-    rows = ranged.withColumn("__r", F.row_number().over(inside))
-    on = F.col("__part") == F.col("__p")
-    for g in group:
-        on = on & F.col(f"`{g}`").eqNullSafe(F.col(f"`__{g}`"))
-    return rows.join(offsets, on).withColumn(name, (F.col("__r") + F.col("__off")).cast("long")).drop("__part", "__p", "__off", "__r", *[f"__{g}" for g in group])
+    part, own, n, off, r = (f"__numbered_{x}" for x in ("part", "own", "n", "off", "r"))
+    key = {g: f"__numbered_key_{g}" for g in group}
+    ranged = cut(df.repartitionByRange(*[F.col(f"`{g}`") for g in group], *order).withColumn(part, F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy(*group, part).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(f"`{g}`").alias(k) for g, k in key.items()], F.col(part).alias(own), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
+    rows = ranged.withColumn(r, F.row_number().over(Window.partitionBy(*group, part).orderBy(*order)))
+    on = F.col(part) == F.col(own)
+    for g, k in key.items():
+        on = on & F.col(f"`{g}`").eqNullSafe(F.col(f"`{k}`"))
+    return rows.join(offsets, on).withColumn(name, (F.col(r) + F.col(off)).cast("long")).drop(part, own, n, off, r, *key.values())
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "position") -> DataFrame:
