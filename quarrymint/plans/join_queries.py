@@ -10,7 +10,7 @@ from quarrymint.operators.joins import bounded_walk, leave_one_out, one_per_key,
 from quarrymint.operators.ranking import movement, pass_change
 from quarrymint.operators.rollup import ratio
 from quarrymint.plans.base import ORDER, PLAN, TR, C, T, outcomes, register, tasks, transitions
-from quarrymint.plans.rollup_queries import _PLANS, placed, plans
+from quarrymint.plans.rollup_queries import _PLANS, plans
 from quarrymint.session import read
 
 QUERIES: dict = {}

@@ -11,8 +11,7 @@ from quarrymint.functions.text import normalized, tokens
 from quarrymint.operators.learners import fit_pairwise, fit_perceptron, linear_score, predict
 from quarrymint.operators.ranking import evenly_spaced, first_label, first_where, round_robin, top_k
 from quarrymint.operators.retrieval import encode_text, knn, prototype_score
-from quarrymint.operators.rollup import ratio
-from quarrymint.plans.base import ORDER, PLAN, TR, C, O, T, nonblank, outcomes, register, sort_order, tasks, transitions
+from quarrymint.plans.base import ORDER, PLAN, TR, C, O, T, outcomes, register, sort_order, tasks, transitions
 from quarrymint.plans.rollup_queries import placed
 from quarrymint.session import read
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from quarrymint.functions.hashing import percent64, percent256, short_id, signed_bucket, stable_fraction, stable_split
 from quarrymint.functions.text import bucket, char_ngrams, diff_counts, jaccard, lexical_variants, ngrams, normalized, tokens
-from quarrymint.functions.vec import cosine, dot, euclidean, mean_abs_delta, norm, normalize, subtract
-from quarrymint.operators.rollup import ratio
-from quarrymint.plans.base import TR, C, T, nonblank, outcomes, register, tasks, transitions
+from quarrymint.functions.vec import cosine, dot, euclidean, mean_abs_delta, norm, normalize
+from quarrymint.plans.base import TR, C, T, outcomes, register, tasks, transitions
 from quarrymint.session import read
 
 QUERIES: dict = {}
