@@ -22,7 +22,11 @@ def outcomes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 PLAN = ["task", "ph", "plan"]
-ORDER = order_key("rank_index", "candidate_id")
+
+
+def ORDER() -> Column:  # noqa: N802
+    """Rank order within a plan; a function, since columns need a session and these modules are imported without one."""
+    return order_key("rank_index", "candidate_id")
 
 
 def sort_order() -> list[Column]:

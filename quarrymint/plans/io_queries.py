@@ -132,8 +132,8 @@ def m04(spark, sf):
 SELECT round(base, 6) AS base, round(scorer, 6) AS scorer, round(scorer - base, 6) AS delta, CASE WHEN scorer < base THEN 'not_ready' WHEN scorer = base THEN 'ready_for_shadow_mode' ELSE 'ready_for_guarded_opt_in' END AS gate FROM m""")
 def m13(spark, sf):
     ok = F.coalesce("passed", F.lit(False)).cast("int")
-    score = F.struct((-F.coalesce(F.when(~F.isnan("ranker_score"), F.col("ranker_score")), F.lit(-1e300))).alias("s"), ORDER.alias("o"))
-    m = outcomes(spark, sf, "ranker_score").groupBy(*PLAN).agg(F.min_by(ok, ORDER).alias("a"), F.min_by(ok, score).alias("b")).agg(F.avg("a").alias("base"), F.avg("b").alias("scorer"))
+    score = F.struct((-F.coalesce(F.when(~F.isnan("ranker_score"), F.col("ranker_score")), F.lit(-1e300))).alias("s"), ORDER().alias("o"))
+    m = outcomes(spark, sf, "ranker_score").groupBy(*PLAN).agg(F.min_by(ok, ORDER()).alias("a"), F.min_by(ok, score).alias("b")).agg(F.avg("a").alias("base"), F.avg("b").alias("scorer"))
     gate = F.when(F.col("scorer") < F.col("base"), "not_ready").when(F.col("scorer") == F.col("base"), "ready_for_shadow_mode").otherwise("ready_for_guarded_opt_in")
     return m.select(F.round("base", 6).alias("base"), F.round("scorer", 6).alias("scorer"), F.round(F.col("scorer") - F.col("base"), 6).alias("delta"), gate.alias("gate"))
 

@@ -112,7 +112,7 @@ def j11(spark, sf):
 @query("j12_positive_negative_counts", f"WITH {C}, g AS (SELECT task, ph, plan, arg_min(candidate_id, (CASE WHEN preferred THEN 0 WHEN is_first_pass THEN 1 ELSE 2 END, rk, candidate_id)) FILTER (WHERE passed) AS positive, arg_min(coalesce(preferred, false), (CASE WHEN preferred THEN 0 WHEN is_first_pass THEN 1 ELSE 2 END, rk, candidate_id)) FILTER (WHERE passed) AS pref, count(*) FILTER (WHERE passed IS NOT TRUE) AS failing, count(*) FILTER (WHERE passed AND preferred IS NOT TRUE) AS others FROM c GROUP BY task, ph, plan) SELECT positive, failing + CASE WHEN pref THEN others ELSE 0 END AS negatives FROM g WHERE positive IS NOT NULL")
 def j12(spark, sf):
     ok, pref = F.coalesce("passed", F.lit(False)), F.coalesce("preferred", F.lit(False))
-    tier = F.struct(F.when(pref, 0).when(F.coalesce("is_first_pass", F.lit(False)), 1).otherwise(2).alias("t"), ORDER.alias("o"))
+    tier = F.struct(F.when(pref, 0).when(F.coalesce("is_first_pass", F.lit(False)), 1).otherwise(2).alias("t"), ORDER().alias("o"))
     g = outcomes(spark, sf, "preferred", "is_first_pass").groupBy(*PLAN).agg(F.min_by(F.when(ok, F.col("candidate_id")), F.when(ok, tier)).alias("positive"), F.min_by(F.when(ok, pref), F.when(ok, tier)).alias("pref"), F.count_if(~ok).alias("failing"), F.count_if(ok & ~pref).alias("others"))
     return g.where(F.col("positive").isNotNull()).select("positive", (F.col("failing") + F.when(F.col("pref"), F.col("others")).otherwise(0)).alias("negatives"))
 
@@ -138,8 +138,8 @@ def j14(spark, sf):
 @query("j15_mode_comparison", f"WITH {C}, g AS (SELECT task, ph, plan, language, arg_min(coalesce(passed, false), (rk, candidate_id)) AS a, arg_min(coalesce(passed, false), (-coalesce(CASE WHEN isnan(model_score) THEN NULL ELSE model_score END, -1e300), rk, candidate_id)) AS b FROM c GROUP BY 1, 2, 3, 4) SELECT language, count(*) FILTER (WHERE b AND NOT a) AS fixed, count(*) FILTER (WHERE a AND NOT b) AS regressed, count(*) FILTER (WHERE NOT a AND NOT b) AS both_missed, count(*) FILTER (WHERE a AND b) AS both_hit FROM g GROUP BY language")
 def j15(spark, sf):
     ok = F.coalesce("passed", F.lit(False))
-    score = F.struct((-F.coalesce(F.when(~F.isnan("model_score"), F.col("model_score")), F.lit(-1e300))).alias("s"), ORDER.alias("o"))
-    g = outcomes(spark, sf, "model_score", "language").groupBy(*PLAN, "language").agg(F.min_by(ok, ORDER).alias("a"), F.min_by(ok, score).alias("b"))
+    score = F.struct((-F.coalesce(F.when(~F.isnan("model_score"), F.col("model_score")), F.lit(-1e300))).alias("s"), ORDER().alias("o"))
+    g = outcomes(spark, sf, "model_score", "language").groupBy(*PLAN, "language").agg(F.min_by(ok, ORDER()).alias("a"), F.min_by(ok, score).alias("b"))
     a, b = F.col("a"), F.col("b")
     return g.groupBy("language").agg(F.count_if(b & ~a).alias("fixed"), F.count_if(a & ~b).alias("regressed"), F.count_if(~a & ~b).alias("both_missed"), F.count_if(a & b).alias("both_hit"))
 

@@ -207,7 +207,7 @@ def m05(spark, sf):
 def m08(spark, sf):
     f = _features(spark, sf).withColumn("s", F.round(2.0 * F.col("f0") + 0.05 * F.col("f1") - 0.1 * F.col("f2"), 6))
     ok = F.coalesce("passed", F.lit(False))
-    g = f.groupBy(*PLAN).agg(F.min_by(ok, ORDER).alias("old"), F.min_by(ok, F.struct((-F.col("s")).alias("s"), ORDER.alias("o"))).alias("new"))
+    g = f.groupBy(*PLAN).agg(F.min_by(ok, ORDER()).alias("old"), F.min_by(ok, F.struct((-F.col("s")).alias("s"), ORDER().alias("o"))).alias("new"))
     return g.agg(F.count("*").alias("plans"), F.count_if(F.col("new") & ~F.col("old")).alias("gained"), F.count_if(F.col("old") & ~F.col("new")).alias("lost"))
 
 
@@ -218,10 +218,10 @@ def m11(spark, sf):
     f = df.select("candidate_id", *PLAN, "passed", "rank_index", F.coalesce("task_family", F.lit("-")).alias("family"), F.coalesce(_score("model_score"), F.lit(0.0)).alias("f0"), F.coalesce(_score("failure_hint_score"), F.lit(0.0)).alias("f1"), F.coalesce(F.col("diff_added_lines").cast("double"), F.lit(0.0)).alias("f2"))
     f = f.withColumn("held", stable_fraction(F.concat(F.lit("v3:"), "family")) < 0.25)
     ok, x = F.coalesce("passed", F.lit(False)), F.array("f0", "f1", "f2")
-    g = f.where(~F.col("held")).groupBy(*PLAN).agg(F.min_by(F.when(ok, x), F.when(ok, ORDER)).alias("p"), F.min_by(F.when(~ok, x), F.when(~ok, ORDER)).alias("q"), F.min("candidate_id").alias("key")).where("p is not null and q is not null")
+    g = f.where(~F.col("held")).groupBy(*PLAN).agg(F.min_by(F.when(ok, x), F.when(ok, ORDER())).alias("p"), F.min_by(F.when(~ok, x), F.when(~ok, ORDER())).alias("q"), F.min("candidate_id").alias("key")).where("p is not null and q is not null")
     w = fit_pairwise(g.select("key", F.zip_with("p", "q", lambda a, b: a - b).alias("diff")), "key", ["f0", "f1", "f2"], 30, 0.1)
     s = sum((F.col(n) * v for n, v in sorted(w.items())), F.lit(0.0))
-    held = f.where("held").groupBy(*PLAN).agg(F.min_by(ok, ORDER).alias("old"), F.min_by(ok, F.struct((-F.round(s, 6)).alias("s"), ORDER.alias("o"))).alias("new"))
+    held = f.where("held").groupBy(*PLAN).agg(F.min_by(ok, ORDER()).alias("old"), F.min_by(ok, F.struct((-F.round(s, 6)).alias("s"), ORDER().alias("o"))).alias("new"))
     return held.agg(F.count("*").alias("plans"), F.count_if("old").alias("stored_pass_at_1"), F.count_if("new").alias("fitted_pass_at_1"))
 
 

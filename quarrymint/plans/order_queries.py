@@ -47,14 +47,14 @@ def w05(spark, sf):
 
 @query("w06_first_label", f"WITH {C} SELECT task, arg_min(symbol, (rk, candidate_id)) FILTER (WHERE NOT regexp_full_match(symbol, '\\s*')) AS symbol, arg_min(node_kind, (rk, candidate_id)) FILTER (WHERE NOT regexp_full_match(node_kind, '\\s*')) AS node_kind FROM c GROUP BY task")
 def w06(spark, sf):
-    return outcomes(spark, sf, "symbol", "node_kind").groupBy("task").agg(first_label("symbol", ORDER).alias("symbol"), first_label("node_kind", ORDER).alias("node_kind"))
+    return outcomes(spark, sf, "symbol", "node_kind").groupBy("task").agg(first_label("symbol", ORDER()).alias("symbol"), first_label("node_kind", ORDER()).alias("node_kind"))
 
 
 @query("w07_positive_choice", f"WITH {C} SELECT task, ph, plan, arg_min(candidate_id, (CASE WHEN passed AND preferred THEN 0 WHEN passed AND is_first_pass THEN 1 ELSE 2 END, rk, candidate_id)) FILTER (WHERE passed) AS positive FROM c GROUP BY 1, 2, 3")
 def w07(spark, sf):
     ok = F.coalesce("passed", F.lit(False))
     tier = F.when(F.coalesce("preferred", F.lit(False)), 0).when(F.coalesce("is_first_pass", F.lit(False)), 1).otherwise(2)
-    return outcomes(spark, sf, "preferred", "is_first_pass").groupBy(*PLAN).agg(first_where(F.col("candidate_id"), ok, F.struct(tier.alias("t"), ORDER.alias("o"))).alias("positive"))
+    return outcomes(spark, sf, "preferred", "is_first_pass").groupBy(*PLAN).agg(first_where(F.col("candidate_id"), ok, F.struct(tier.alias("t"), ORDER().alias("o"))).alias("positive"))
 
 
 @query("w09_even_sample", f"WITH {T}, o AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS i, count(*) OVER () AS n FROM t), p AS (SELECT DISTINCT round_even(x.range * (SELECT any_value(n) - 1 FROM o) / 31.0, 0)::BIGINT AS i FROM range(32) x) SELECT task_id FROM o WHERE n <= 32 OR i IN (SELECT i FROM p)")
@@ -342,7 +342,7 @@ def m07(spark, sf):
     f = _features(spark, sf)
     ok = F.coalesce("passed", F.lit(False))
     x = F.array("f0", "f1", "f2")
-    g = f.groupBy(*PLAN).agg(F.min_by(F.when(ok, x), F.when(ok, ORDER)).alias("p"), F.min_by(F.when(~ok, x), F.when(~ok, ORDER)).alias("q"), F.min("candidate_id").alias("key")).where("p is not null and q is not null")
+    g = f.groupBy(*PLAN).agg(F.min_by(F.when(ok, x), F.when(ok, ORDER())).alias("p"), F.min_by(F.when(~ok, x), F.when(~ok, ORDER())).alias("q"), F.min("candidate_id").alias("key")).where("p is not null and q is not null")
     weights = fit_pairwise(g.select("key", F.zip_with("p", "q", lambda a, b: a - b).alias("diff")), "key", ["f0", "f1", "f2"])
     return spark.createDataFrame(sorted(weights.items()), "name string, weight double")
 

@@ -24,14 +24,14 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = outcomes(spark, sf_dir, "task_family", "source_type", "split", "preferred", "action")
     ok = F.coalesce("passed", F.lit(False))
     return df.groupBy(*PLAN).agg(
-        first_label("task_family", ORDER).alias("family"),
-        first_label("source_type", ORDER).alias("source_type"),
-        first_label("split", ORDER).alias("split"),
+        first_label("task_family", ORDER()).alias("family"),
+        first_label("source_type", ORDER()).alias("source_type"),
+        first_label("split", ORDER()).alias("split"),
         F.count("*").alias("n"),
         F.count_if(ok).alias("passing"),
         F.count_if(ok & F.coalesce("preferred", F.lit(False))).alias("preferred"),
-        F.coalesce(F.min_by(ok, ORDER), F.lit(False)).alias("first_passed"),
-        first_where(F.col("action"), ok, ORDER).alias("winning_action"),
+        F.coalesce(F.min_by(ok, ORDER()), F.lit(False)).alias("first_passed"),
+        first_where(F.col("action"), ok, ORDER()).alias("winning_action"),
     )
 
 
@@ -127,8 +127,8 @@ def a05(spark, sf_dir):
 SELECT count(*) AS plans, count(*) FILTER (WHERE production = scorer) AS agreeing, round(count(*) FILTER (WHERE production = scorer) / count(*), 6) AS agreement_rate, count(*) FILTER (WHERE scorer_passed AND NOT production_passed) AS improved, count(*) FILTER (WHERE production_passed AND NOT scorer_passed) AS regressed, count(*) FILTER (WHERE production_passed = scorer_passed) AS same, round(avg(production_passed::INT), 6) AS production_pass_at_1, round(avg(scorer_passed::INT), 6) AS scorer_pass_at_1 FROM g""".replace("GROUP BY ALL", "GROUP BY task, ph, plan"))
 def a07(spark, sf_dir):
     ok = F.coalesce("passed", F.lit(False))
-    score = F.struct((-F.coalesce(F.when(~F.isnan("ranker_score"), F.col("ranker_score")), F.lit(-1e300))).alias("s"), ORDER.alias("o"))
-    g = outcomes(spark, sf_dir, "ranker_score").groupBy(*PLAN).agg(F.min_by("candidate_id", ORDER).alias("production"), F.min_by(ok, ORDER).alias("pp"), F.min_by("candidate_id", score).alias("scorer"), F.min_by(ok, score).alias("sp"))
+    score = F.struct((-F.coalesce(F.when(~F.isnan("ranker_score"), F.col("ranker_score")), F.lit(-1e300))).alias("s"), ORDER().alias("o"))
+    g = outcomes(spark, sf_dir, "ranker_score").groupBy(*PLAN).agg(F.min_by("candidate_id", ORDER()).alias("production"), F.min_by(ok, ORDER()).alias("pp"), F.min_by("candidate_id", score).alias("scorer"), F.min_by(ok, score).alias("sp"))
     n = F.count("*")
     same = F.col("production") == F.col("scorer")
     return g.agg(n.alias("plans"), F.count_if(same).alias("agreeing"), ratio(F.count_if(same), n).alias("agreement_rate"), F.count_if(F.col("sp") & ~F.col("pp")).alias("improved"), F.count_if(F.col("pp") & ~F.col("sp")).alias("regressed"), F.count_if(F.col("pp") == F.col("sp")).alias("same"), F.round(F.avg(F.col("pp").cast("int")), 6).alias("production_pass_at_1"), F.round(F.avg(F.col("sp").cast("int")), 6).alias("scorer_pass_at_1"))
