@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymint.session import BROADCAST_BYTES, checked_broadcast, cut
+from quarrymint.session import checked_broadcast, cut
 
 #: Hash buckets into which the items of one length are dealt to be numbered; a hot length is shared by that many tasks.
 BUCKETS = 256
