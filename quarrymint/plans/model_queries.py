@@ -196,11 +196,11 @@ def m03(spark, sf):
     return transitions(spark, sf).where(F.size(v) > 0).groupBy(F.size(v).alias("dim"), F.col("structured_action.kind").alias("action")).agg(F.count("*").alias("examples"))
 
 
-@query("m05_before_after_prototypes", f"WITH {TR}, x AS (SELECT 'before' AS side, structured_action.kind AS action, len(repo_before.state.repo_embedding) AS dim, generate_subscripts(repo_before.state.repo_embedding, 1) - 1 AS i, unnest(repo_before.state.repo_embedding) AS v FROM tr UNION ALL SELECT 'after', structured_action.kind, len(repo_after.state.repo_embedding), generate_subscripts(repo_after.state.repo_embedding, 1) - 1, unnest(repo_after.state.repo_embedding) FROM tr) SELECT side, action, dim::INT AS dim, i::INT AS i, round(avg(v), 6) AS mean FROM x GROUP BY 1, 2, 3, 4")
+@query("m05_before_after_prototypes", f"WITH {TR}, x AS (SELECT 'before' AS side, structured_action.kind AS action, len(repo_before.state.repo_embedding) AS dim, generate_subscripts(repo_before.state.repo_embedding, 1) - 1 AS i, unnest(repo_before.state.repo_embedding) AS v FROM tr UNION ALL SELECT 'after', structured_action.kind, len(repo_after.state.repo_embedding), generate_subscripts(repo_after.state.repo_embedding, 1) - 1, unnest(repo_after.state.repo_embedding) FROM tr) SELECT side, action, dim::INT AS dim, i::INT AS i, round(round(sum(v), 6) / count(v), 6) AS mean FROM x GROUP BY 1, 2, 3, 4")
 def m05(spark, sf):
     tr = transitions(spark, sf).select(F.col("structured_action.kind").alias("action"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"repo_{s}.state.repo_embedding").alias("v")) for s in ("before", "after")])).alias("x")).select("action", "x.*")
     long = tr.select("side", "action", F.size("v").alias("dim"), F.posexplode("v").alias("i", "y"))
-    return long.groupBy("side", "action", "dim", "i").agg(F.round(F.avg("y"), 6).alias("mean"))
+    return long.groupBy("side", "action", "dim", "i").agg(F.round(F.round(F.sum("y"), 6) / F.count("y"), 6).alias("mean"))
 
 
 @query("m08_rescored_validation", f"WITH {C}, s AS (SELECT *, 2.0 * coalesce(CASE WHEN isnan(model_score) THEN NULL ELSE model_score END, 0) + 0.05 * coalesce(CASE WHEN isnan(failure_hint_score) THEN NULL ELSE failure_hint_score END, 0) - 0.1 * coalesce(diff_added_lines, 0) AS s FROM c), g AS (SELECT task, ph, plan, arg_min(coalesce(passed, false), (rk, candidate_id)) AS old, arg_min(coalesce(passed, false), (-round(s, 6), rk, candidate_id)) AS new FROM s GROUP BY 1, 2, 3) SELECT count(*) AS plans, count(*) FILTER (WHERE new AND NOT old) AS gained, count(*) FILTER (WHERE old AND NOT new) AS lost FROM g")

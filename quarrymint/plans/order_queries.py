@@ -312,14 +312,15 @@ def r11(spark, sf):
 _DELTA = f"""{TR}, d AS (SELECT id, structured_action.kind AS action, repo_before.state.repo_embedding AS a, repo_after.state.repo_embedding AS b FROM tr), ok AS (SELECT * FROM d WHERE a IS NOT NULL AND b IS NOT NULL AND len(a) = len(b) AND len(a) > 0)"""
 
 
-@query("m01_m02_action_deltas", f"WITH {_DELTA}, l AS (SELECT action, len(a) AS dim, generate_subscripts(a, 1) - 1 AS i, unnest(list_transform(list_zip(a, b), lambda x: x[2] - x[1])) AS x FROM ok) SELECT action, dim::INT AS dim, i::INT AS i, round(avg(x), 6) AS mean, count(x) AS n FROM l GROUP BY 1, 2, 3")
+@query("m01_m02_action_deltas", f"WITH {_DELTA}, l AS (SELECT action, len(a) AS dim, generate_subscripts(a, 1) - 1 AS i, unnest(list_transform(list_zip(a, b), lambda x: x[2] - x[1])) AS x FROM ok) SELECT action, dim::INT AS dim, i::INT AS i, round(round(sum(x), 6) / count(x), 6) AS mean, count(x) AS n FROM l GROUP BY 1, 2, 3")
 def m02(spark, sf):
     """Mean change of the repository vector by action, element by element."""
     from quarrymint.functions.vec import subtract
 
     a, b = F.col("repo_before.state.repo_embedding"), F.col("repo_after.state.repo_embedding")
     d = transitions(spark, sf).where((F.size(a) == F.size(b)) & (F.size(a) > 0)).select(F.col("structured_action.kind").alias("action"), F.size(a).alias("dim"), F.posexplode(subtract(b, a)).alias("i", "x"))
-    return d.groupBy("action", "dim", "i").agg(F.round(F.avg("x"), 6).alias("mean"), F.count("x").alias("n"))
+    # the sum is rounded first: the order in which it was taken cannot tip a mean that lies between two last digits
+    return d.groupBy("action", "dim", "i").agg(F.round(F.round(F.sum("x"), 6) / F.count("x"), 6).alias("mean"), F.count("x").alias("n"))
 
 
 _F = f"s AS (SELECT candidate_id, task, ph, plan, passed, coalesce({_S.format('model_score')}, 0) AS f0, coalesce({_S.format('failure_hint_score')}, 0) AS f1, coalesce(diff_added_lines, 0) AS f2 FROM c)"
