@@ -67,8 +67,8 @@ def overlap_counts(df: DataFrame, group: Sequence[str], start: str, end: str) ->
 
 def leave_one_out(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean of ``value`` over the other rows of the key, (sum - x) / (n - 1); null where there are none. Sums are partial
-    aggregates, and the join back is on the many side."""
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    aggregates, rounded to 9 decimals so that the order of summation does not tip the last of the 6 that come out, and the join back is on the many side."""
+    sums = df.groupBy(*keys).agg(F.round(F.sum(value), 9).alias("__s"), F.count(value).alias("__n"))
     x = F.coalesce(F.col(value), F.lit(0.0))
     others = F.col("__n") - F.col(value).isNotNull().cast("int")
     return df.join(sums, list(keys)).withColumn("others_mean", F.round(F.try_divide(F.col("__s") - x, others), 6)).drop("__s", "__n")
