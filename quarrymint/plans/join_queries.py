@@ -94,7 +94,7 @@ def j07(spark, sf):
     return overlap_counts(df, [*PLAN, "file_path"], "start_line", "end_line").select("candidate_id", "overlapping")
 
 
-@query("j10_leave_one_out", f"WITH {C}, s AS (SELECT candidate_id, task, CASE WHEN isnan(model_score) THEN NULL ELSE model_score END AS s FROM c), g AS (SELECT task, round(sum(s), 9) AS ss, count(s) AS n FROM s GROUP BY task) SELECT candidate_id, round((ss - coalesce(s, 0)) / nullif(n - (s IS NOT NULL)::INT, 0), 6) AS others_mean FROM s JOIN g USING (task)")
+@query("j10_leave_one_out", f"WITH {C}, s AS (SELECT candidate_id, task, CASE WHEN isnan(model_score) THEN NULL ELSE model_score END AS s FROM c), g AS (SELECT task, round(sum(s), 9) AS ss, count(s) AS n FROM s GROUP BY task) SELECT candidate_id, floor((ss - coalesce(s, 0)) / nullif(n - (s IS NOT NULL)::INT, 0) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS others_mean FROM s JOIN g USING (task)")
 def j10(spark, sf):
     df = outcomes(spark, sf, "model_score").select("candidate_id", "task", F.when(~F.isnan("model_score"), F.col("model_score")).alias("s"))
     return leave_one_out(df, ["task"], "s").select("candidate_id", "others_mean")
