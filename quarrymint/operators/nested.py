@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: An object with more distinct fields than this is a map in disguise and is kept as JSON text.
+#: An object gets at most so many columns; its other fields are kept as JSON text in a column of their own.
 MAX_FIELDS = 256
+#: Field names that are counted for one object before the rarest are given up.
+MAX_NAMES = 1 << 14
+#: Column of what has no column of its own in an object: further fields, or a value that is no object.
+REST = "_rest"
 #: Containers nested deeper than this are kept as JSON text.
 MAX_DEPTH = 24
 
@@ -192,14 +196,22 @@ def _record(text, hoist: Sequence[str]):
     return value
 
 
-# A shape is {"k": [kinds], "f": {field: shape}, "e": shape}; kinds are object, array, long, double, boolean, string, text.
+# A shape is {"k": [kinds], "f": {field: shape}, "n": {field: count}, "odd": bool, "e": shape}; kinds are object, array,
+# long, double, boolean, string, text. An object is odd if some of its values need the rest column.
+
+
+def _object(fields: dict, counts: dict, odd: bool) -> dict:
+    if len(fields) > MAX_NAMES:
+        names = sorted(fields, key=lambda k: (-counts[k], k))[:MAX_NAMES]
+        fields, counts, odd = {k: fields[k] for k in names}, {k: counts[k] for k in names}, True
+    return {"k": ["object"], "f": fields, "n": counts, "odd": odd}
 
 
 def shape_of(value, depth: int = 0) -> dict:
     if isinstance(value, dict):
-        if len(value) > MAX_FIELDS or depth >= MAX_DEPTH:
+        if depth >= MAX_DEPTH:
             return {"k": ["text"]}
-        return {"k": ["object"], "f": {k: shape_of(v, depth + 1) for k, v in value.items()}}
+        return _object({k: shape_of(v, depth + 1) for k, v in value.items()}, dict.fromkeys(value, 1), False)
     if isinstance(value, list):
         if depth >= MAX_DEPTH:
             return {"k": ["text"]}
@@ -217,9 +229,9 @@ def shape_of(value, depth: int = 0) -> dict:
 
 
 def merge_shapes(a: dict, b: dict) -> dict:
-    """The least shape that holds both. A lone value where the other has a list is a list of one; an object beside a
-    scalar, or scalars of different kinds, are kept as JSON text, and so is a list of such values. The order of merging
-    does not matter."""
+    """The least shape that holds both. A lone value where the other has a list is a list of one; an object stays an
+    object beside a scalar, which goes to the rest column; scalars of different kinds are kept as JSON text, and so is a
+    list of such values. The order of merging does not matter."""
     ka, kb = set(a["k"]), set(b["k"])
     if not ka or not kb:
         return b if not ka else a
@@ -228,27 +240,60 @@ def merge_shapes(a: dict, b: dict) -> dict:
         eb = b["e"] if "array" in kb else b
         return {"k": ["array"], "e": merge_shapes(ea, eb)}
     if ka == kb == {"object"}:
-        fields = dict(a["f"])
+        fields, counts = dict(a["f"]), dict(a["n"])
         for k, v in b["f"].items():
             fields[k] = merge_shapes(fields[k], v) if k in fields else v
-        return {"k": ["object"], "f": fields} if len(fields) <= MAX_FIELDS else {"k": ["text"]}
+            counts[k] = counts.get(k, 0) + b["n"][k]
+        return _object(fields, counts, a["odd"] or b["odd"])
+    if "object" in ka | kb:
+        return {**(a if "object" in ka else b), "odd": True}
     if ka == kb:
         return a
     return {"k": ["double"]} if ka | kb == {"long", "double"} else {"k": ["text"]}
 
 
+def _struct(kinds: dict[str, T.DataType], first: Sequence[str] = (), rest: bool = False) -> T.StructType:
+    """A struct of the fields, in the order of their names. Of names that differ only in letter case one stays, from
+    ``first`` or else the one in small letters, and the others get ``_`` appended; metadata have the name in the JSON."""
+    order = sorted(kinds, key=lambda k: (k not in first, k.swapcase()))
+    named = dict(zip(order, _unique(order, taken := set()), strict=True))
+    out = [T.StructField(named[k], kinds[k], True, {"json": k} if named[k] != k else None) for k in sorted(kinds)]
+    return T.StructType([*out, T.StructField(_unique([REST], taken)[0], T.StringType(), True, {"rest": True})] if rest else out)
+
+
+def _key(f: T.StructField) -> str | None:
+    """The field's name in the JSON; None for the rest column."""
+    return None if f.metadata.get("rest") else f.metadata.get("json", f.name)
+
+
 def spark_type(shape: dict) -> T.DataType:
-    """The Spark type of a shape; field names that differ only in letter case are kept as JSON text in one column."""
+    """The Spark type of a shape. Of more than MAX_FIELDS fields those that have lists or objects come first, then the
+    most frequent; the others, and values that are no object, are JSON text in the rest column."""
     kind = next(iter(shape["k"]), "string")
     if kind == "object":
-        if not shape["f"] or len({k.lower() for k in shape["f"]}) < len(shape["f"]):
+        if not shape["f"]:
             return T.StringType()
-        return T.StructType([T.StructField(k, spark_type(v)) for k, v in sorted(shape["f"].items())])
+        rank = lambda k: (not {"array", "object"} & set(shape["f"][k]["k"]), -shape["n"][k], k.swapcase())
+        names = sorted(shape["f"], key=rank)[:MAX_FIELDS]
+        return _struct({k: spark_type(shape["f"][k]) for k in names}, rest=shape["odd"] or len(names) < len(shape["f"]))
     if kind == "array" and "text" not in shape["e"]["k"]:
         return T.ArrayType(spark_type(shape["e"]))
     return {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}.get(kind, T.StringType())
 
 
+def pinned(kind: T.DataType, want: T.DataType) -> T.DataType:
+    """``kind`` with the fields and types of ``want``, whatever the lines made of them; other fields stay."""
+    if isinstance(want, T.StructType):
+        found = kind.fields if isinstance(kind, T.StructType) else []
+        kinds = {k: f.dataType for f in found if (k := _key(f)) is not None}
+        for f in want.fields:
+            kinds[f.name] = pinned(kinds.get(f.name, T.NullType()), f.dataType)
+        return _struct(kinds, want.names, any(_key(f) is None for f in found))
+    if isinstance(want, T.ArrayType):
+        return T.ArrayType(pinned(kind.elementType if isinstance(kind, T.ArrayType) else kind, want.elementType))
+    return want
+
+
 def fitted(value, kind: T.DataType):
     """``value`` in the form that ``kind`` asks for; what does not fit a scalar type is null."""
     if value is None:
@@ -256,7 +301,14 @@ def fitted(value, kind: T.DataType):
     if isinstance(kind, T.ArrayType):
         return [fitted(v, kind.elementType) for v in (value if isinstance(value, list) else [value])]
     if isinstance(kind, T.StructType):
-        return {f.name: fitted(value.get(f.name), f.dataType) for f in kind.fields} if isinstance(value, dict) else None
+        rest = next((f.name for f in kind.fields if _key(f) is None), None)
+        known = {_key(f): f for f in kind.fields if _key(f) is not None}
+        if not isinstance(value, dict):
+            return None if rest is None else {rest: fitted(value, T.StringType())}
+        out = {f.name: fitted(value.get(k), f.dataType) for k, f in known.items()}
+        if rest is not None and (more := {k: v for k, v in value.items() if k not in known}):
+            out[rest] = fitted(more, T.StringType())
+        return out
     if isinstance(kind, T.StringType):
         return value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)
     if isinstance(kind, T.BooleanType):
@@ -297,10 +349,12 @@ def infer_json(df: DataFrame, column: str, hoist: Sequence[str] = ()) -> T.Struc
     return kind if isinstance(kind, T.StructType) else T.StructType([])
 
 
-def parse_json_lines(df: DataFrame, key: str, column: str, schema: T.StructType | None = None, hoist: Sequence[str] = ()) -> DataFrame:
+def parse_json_lines(df: DataFrame, key: str, column: str, schema: T.StructType | None = None, hoist: Sequence[str] = (), want: T.StructType | None = None) -> DataFrame:
     """``key`` and one column for each field of the merged schema. Lines that are null, not valid JSON or no object
-    give no row. With a schema that has no fields the result has the key alone and no rows."""
+    give no row. With a schema that has no fields the result has the key alone and no rows. Fields of ``want`` are there
+    in its types whatever the lines hold; what does not fit them is null."""
     schema = infer_json(df, column, hoist) if schema is None else schema
+    schema = schema if want is None else pinned(schema, want)
     if not schema.fields:
         return df.select(F.col(f"`{key}`")).where(F.lit(False))
 
@@ -315,9 +369,9 @@ def parse_json_lines(df: DataFrame, key: str, column: str, schema: T.StructType
 
     key_type = df.schema[key].dataType.simpleString()
     parsed = df.select(F.col(f"`{key}`"), F.col(f"`{column}`").cast("string")).mapInPandas(parse, f"__key {key_type}, __json string")
-    fields = [f.name for f in schema.fields]
+    names = _unique(schema.names, {key.lower()})
     return parsed.select(F.col("__key").alias(key), F.from_json("__json", schema).alias("__r")).select(
-        key, *[F.col("__r")[f].alias(f if f.lower() != key.lower() else f"{f}_") for f in fields]
+        key, *[F.col("__r")[f].alias(n) for f, n in zip(schema.names, names, strict=True)]
     )
 
 

@@ -10,6 +10,10 @@ from quarrymint.operators.nested import child_table, has_path, parse_json_lines
 from quarrymint.session import read
 
 EMPTY = "child string, parent_key string, outer_pos long, inner_pos long"
+#: What the cases need of a log line, so that no line can change how the others are read.
+_ASSERTION = T.StructType([T.StructField("expected", T.StringType())])
+_HINT = T.StructType([T.StructField("assertions", T.ArrayType(_ASSERTION))])
+LOG = T.StructType([T.StructField("failure_hints", T.ArrayType(_HINT))])
 
 
 def _cases(child: str, table: DataFrame) -> DataFrame:
@@ -34,9 +38,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct: only (key, place) rows are shuffled, never the nested values."""
     candidates = read(spark, sf_dir, "candidate_outcomes")
     transitions = read(spark, sf_dir, "prompt_repo_transitions")
-    log = parse_json_lines(read(spark, sf_dir, "outcome_log"), "line_id", "line", hoist=("record",))
-    if isinstance(log.schema["failure_hints"].dataType if "failure_hints" in log.columns else None, T.StructType):
-        log = log.withColumn("failure_hints", F.array("failure_hints"))
+    log = parse_json_lines(read(spark, sf_dir, "outcome_log"), "line_id", "line", hoist=("record",), want=LOG)
     overlap = child_table(candidates, "candidate_id", ("overlapping_candidate_ranks",)).where(F.col("value").isNotNull())
     outcome = transitions.where(F.length(F.trim(F.regexp_replace("outcome.status", r"\s+", " "))) > 0).select(
         F.lit("outcome").alias("child"), F.col("id").alias("parent_key"), F.lit(0).cast("long").alias("outer_pos"), F.lit(0).cast("long").alias("inner_pos")

@@ -1,10 +1,13 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymint.operators.nested import child_table, decoded, fitted, flat_tables, infer_json, merge_shapes, parse_json_lines, shape_of, spark_type, strict_json
+from quarrymint.plans import nested_queries
+from tests.oracle import same
 
 SCHEMA = "id long, ordinal string, a struct<x:long, items:array<struct<v:string, ordinal:int, deep:array<long>>>>, m map<string,long>, nested array<array<int>>"
 ROWS = [
@@ -89,3 +92,49 @@ def test_strict_json_and_decoding():
             strict_json(bad)
     assert decoded('"[1, \\"{\\\\\\"a\\\\\\": null}\\"]"') == [1, {"a": None}]
     assert strict_json("1" * 5000) == float("inf")
+
+
+GOOD = '{"failure_hints": [{"assertions": [{"expected": 1}, {"expected": null}]}]}'
+ODD = {
+    "wide line": json.dumps({f"a{i}": i for i in range(300)}),
+    "wide hint": json.dumps({"failure_hints": [{f"a{i}": {"b": i} for i in range(300)}]}),
+    "scalar hint": '{"failure_hints": ["plain", 3]}',
+    "scalar assertion": '{"failure_hints": [{"assertions": ["plain", {"expected": 2}]}]}',
+    "letter case": '{"Failure_Hints": 1, "failure_hints": [{"Assertions": 2}]}',
+    "nested lists": '{"failure_hints": [[{"assertions": [[{"expected": 3}]]}]]}',
+    "list expected": '{"failure_hints": [{"assertions": [{"expected": [1, {"x": 2}]}]}]}',
+    "no lists": '{"failure_hints": {"assertions": {"expected": {"": 5, "a.b": 6}}}, "": 1, "a.b": 2, "_rest": 3}',
+}
+
+
+@pytest.mark.parametrize("odd", sorted(ODD))
+def test_one_odd_line_leaves_the_others(spark, tmp_path, odd):
+    """The cases of p6 equal its SQL; the merged schema keeps the other line's table too."""
+    lines = [(1, GOOD), (2, ODD[odd])]
+    df = spark.createDataFrame(lines, "line_id long, line string")
+    df.write.parquet(str(tmp_path / "outcome_log.parquet"))
+    for t, kind in (
+        ("candidate_outcomes", "candidate_id long, failure_hints array<struct<assertions:array<struct<expected:string>>>>, overlapping_candidate_ranks array<long>"),
+        ("prompt_repo_transitions", "id string, outcome struct<status:string>"),
+    ):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{t}.parquet"))
+    con = duckdb.connect()
+    for p in tmp_path.iterdir():
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}/*.parquet'")
+    got = nested_queries.p6_found(spark, str(tmp_path))
+    assert ("log_assertion", "1", 1, 1) in [tuple(r) for r in got.collect()]
+    same(got, con, nested_queries.ORACLE["p6_found"])
+
+
+def test_odd_values_keep_their_place_and_text(spark):
+    lines = ['{"h": [{"x": 1}, "s"]}', '{"h": 7}', json.dumps({f"a{i}": i for i in range(300)})]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    log = parse_json_lines(df, "id", "line")
+    rows = [tuple(r) for r in child_table(log, "id", ("h",)).select("row_key", "x", "_rest").orderBy("row_key").collect()]
+    assert rows == [("0/1", 1, None), ("0/2", None, "s"), ("1/1", None, "7")]
+    assert len(log.columns) == 258
+    wide = log.where("id = 2").first().asDict()
+    values = {k: v for k, v in wide.items() if k[0] == "a"} | json.loads(wide["_rest"])
+    assert {k: v for k, v in values.items() if v is not None} == {f"a{i}": i for i in range(300)}
+    clash = parse_json_lines(spark.createDataFrame([(1, '{"h": 7, "H": 2, "ID": 3, "id_": 4}')], "id long, line string"), "id", "line")
+    assert clash.first().asDict() == {"id": 1, "h": 7, "H_": 2, "ID_": 3, "id__": 4}
