@@ -13,6 +13,8 @@ from quarrymint.functions.hashing import signed_bucket
 
 #: Most bytes of query vectors that are sent to every task at once; more queries go in several blocks.
 QUERY_BYTES = 16 << 20
+#: Most bytes of one matrix of scores; more points are compared in several slices.
+SCORE_BYTES = 32 << 20
 
 
 def encode_text(df: DataFrame, key: str, tokens: Column, dim: int) -> DataFrame:
@@ -32,8 +34,9 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", t
 
     ``metric`` is cosine or dot (higher is nearer) or euclidean (lower is nearer). Ties go by id, ``asc`` or ``desc``.
     The query set is collected in blocks of at most QUERY_BYTES and compared with all points by matrix products; each
-    task keeps k candidates for each query, so what is shuffled follows the queries, not the points. Vectors of other
-    lengths than the block's first are skipped.
+    task keeps k candidates for each query, so what is shuffled follows the queries, not the points. Every length of
+    vectors has blocks of its own: a query is compared with the points of its length. Null and empty vectors have no
+    neighbours.
     """
     spark = points.sparkSession
     sign = 1.0 if metric == "euclidean" else -1.0
@@ -44,10 +47,10 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", t
         norm_q = np.linalg.norm(q, axis=1)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                part = part[part["v"].map(lambda v: v is not None and len(v) == q.shape[1])].sort_values("id", ascending=ties == "asc")
-                if not len(part):
-                    continue
+            best: tuple | None = None
+            step = max(1, SCORE_BYTES // (8 * len(q)))
+            for part in (some.iloc[at : at + step] for some in parts for at in range(0, len(some), step)):
+                part = part.sort_values("id", ascending=ties == "asc")
                 p, ids = np.stack(part["v"].to_numpy()).astype(float), part["id"].to_numpy()
                 s = q @ p.T
                 if metric == "cosine":
@@ -56,26 +59,30 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", t
                 elif metric == "euclidean":
                     s = np.sqrt(np.maximum(0.0, (q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * s))
                 s = np.round(s, 6) + 0.0
-                rows = []
-                for i, qid in enumerate(q_ids):
-                    order = np.argsort(sign * s[i], kind="stable")[: k + 1]
-                    rows.extend((qid, ids[j], s[i, j]) for j in order if not (exclude_self and ids[j] == qid))
-                yield pd.DataFrame(rows, columns=["query", "id", "score"])
+                top = np.argsort(sign * s, axis=1, kind="stable")[:, : k + 1]
+                s, ids = np.take_along_axis(s, top, 1), ids[top]
+                if best is not None:
+                    s, ids = np.hstack([best[0], s]), np.hstack([best[1], ids])
+                    place = np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
+                    top = np.lexsort((place if ties == "asc" else -place, sign * s), axis=1)[:, : k + 1]
+                    s, ids = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
+                best = s, ids
+            if best is not None:
+                out = pd.DataFrame({"query": np.repeat(np.array(q_ids, dtype=best[1].dtype), best[1].shape[1]), "id": best[1].ravel(), "score": best[0].ravel()})
+                yield out[out["query"] != out["id"]] if exclude_self else out
 
         return run
 
-    queries = queries.select("id", "v")
-    total = queries.count()
-    first = queries.limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], f"query {kind}, id {kind}, score double")
-    blocks = max(1, -(-total * len(first[0]["v"]) * 8 // QUERY_BYTES))
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-        some = some[some["v"].map(lambda v: v is not None and len(v) == len(first[0]["v"]))]
-        if len(some):
-            part = points.select("id", "v").mapInPandas(compare(some["id"].tolist(), np.stack(some["v"].to_numpy()).astype(float)), f"query {kind}, id {kind}, score double")
-            found = part if found is None else found.unionByName(part)
+    queries = queries.select("id", "v").where(F.size("v") > 0)
+    for n, total in sorted(tuple(r) for r in queries.groupBy(F.size("v")).count().collect()):
+        blocks = max(1, -(-total * n * 8 // QUERY_BYTES))
+        for b in range(blocks):
+            some = queries.where((F.size("v") == n) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).toPandas()
+            if len(some):
+                part = points.select("id", "v").where(F.size("v") == n).mapInPandas(compare(some["id"].tolist(), np.stack(some["v"].to_numpy()).astype(float)), f"query {kind}, id {kind}, score double")
+                found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], f"query {kind}, id {kind}, score double")
     near = F.asc("score") if metric == "euclidean" else F.desc("score")
     w = Window.partitionBy("query").orderBy(near, F.asc("id") if ties == "asc" else F.desc("id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

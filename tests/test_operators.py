@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymint.functions.hashing import percent64, percent256, signed_bucket, stable_fraction, stable_split
 from quarrymint.functions.text import bucket, jaccard, ngrams, normalized, tokens
 from quarrymint.functions.vec import cosine, normalize
+from quarrymint.operators import retrieval
 from quarrymint.operators.joins import bounded_walk, leave_one_out, one_per_key, outer_with_status, overlap_counts
 from quarrymint.operators.learners import fit_pairwise, fit_perceptron, linear_score, predict
 from quarrymint.operators.ranking import evenly_spaced, movement, numbered, pass_change, round_robin, top_k
@@ -156,3 +158,29 @@ def test_learners(spark):
     df = spark.createDataFrame([(1, "red hot", "x"), (2, "blue cold", "y"), (3, "red", "x"), (4, "cold", "y"), (5, "q", None)], "id long, t string, y string")
     weights = fit_perceptron(df, "id", tokens(F.col("t")), F.col("y"))
     assert {r["id"]: r["predicted"] for r in predict(weights, df, "id", tokens(F.col("t"))).collect()} == {1: "x", 2: "y", 3: "x", 4: "y", 5: "y"}
+
+
+@pytest.mark.parametrize("first", [None, [], [1.0, 0.0], [1.0, 0.0, 0.0]])
+def test_knn_of_every_length(spark, first):
+    rnd = random.Random(3)
+    rows = [(0, first)] + [(i, [rnd.random() for _ in range(2 + i % 2)]) for i in range(1, 13)] + [(13, None), (14, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    want = set()
+    for q, a in rows:
+        near = sorted((math.dist(a, b), i) for i, b in rows if a and b and len(a) == len(b) and i != q)
+        want |= {(q, i, n) for n, (_, i) in enumerate(near[:2], 1)}
+    assert {(r["query"], r["id"], r["rank"]) for r in knn(df, df, 2, "euclidean").collect()} == want
+    assert knn(df, df.where(F.size("v") < 1), 2).count() == 0
+
+
+@pytest.mark.parametrize("ties", ["asc", "desc"])
+def test_knn_in_slices(spark, monkeypatch, ties):
+    monkeypatch.setattr(retrieval, "SCORE_BYTES", 8 * 40 * 3)
+    rows = [(f"r{i:02}", [float(i % 4), float(i % 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, v array<double>").coalesce(2)
+    got = {}
+    for r in knn(df, df, 3, "dot", ties).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    for q, a in rows:
+        near = sorted((i for i, _ in rows if i != q), reverse=ties == "desc")
+        assert got[q] == sorted(near, key=lambda i: -sum(x * y for x, y in zip(a, dict(rows)[i], strict=True)))[:3]
