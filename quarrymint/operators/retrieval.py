@@ -17,12 +17,12 @@ QUERY_BYTES = 16 << 20
 SCORE_BYTES = 32 << 20
 
 
-def encode_text(df: DataFrame, key: str, tokens: Column, dim: int) -> DataFrame:
-    """(key, v): unit vectors of signed hashed token counts, log1p-weighted. Built in long form, so only (row, bucket,
-    count) rows are shuffled; a row without tokens has a zero vector."""
+def encode_text(df: DataFrame, key: str, tokens: Column, dim: int, log: bool = True) -> DataFrame:
+    """(key, v): unit vectors of signed hashed token counts, log1p-weighted unless ``log`` is off. Built in long form, so only
+    (row, bucket, count) rows are shuffled; a row without tokens has a zero vector."""
     b, s = signed_bucket(F.col("token"), dim)
     long = df.select(F.col(key), F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    cells = long.select(key, b.alias("b"), (s * F.log1p("n")).alias("x")).groupBy(key, "b").agg(F.sum("x").alias("x"))
+    cells = long.select(key, b.alias("b"), (s * (F.log1p("n") if log else F.col("n"))).alias("x")).groupBy(key, "b").agg(F.sum("x").alias("x"))
     packed = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # at most ``dim`` cells
     filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
     zero = F.array_repeat(F.lit(0.0), dim)

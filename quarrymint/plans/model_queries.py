@@ -12,9 +12,10 @@ from quarrymint.functions.vec import add, normalize, subtract
 from quarrymint.operators.learners import fit_pairwise
 from quarrymint.operators.retrieval import encode_text, knn
 from quarrymint.operators.rollup import ratio
+from quarrymint.operators.transitions import examples, predicted, ranked
 from quarrymint.plans.base import ORDER, PLAN, TR, C, O, T, outcomes, register, tasks, transitions
 from quarrymint.plans.order_queries import _Q, _features, _score, _vectors
-from quarrymint.session import read, scratch_path
+from quarrymint.session import cut, read, scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -196,6 +197,18 @@ def m03(spark, sf):
     return transitions(spark, sf).where(F.size(v) > 0).groupBy(F.size(v).alias("dim"), F.col("structured_action.kind").alias("action")).agg(F.count("*").alias("examples"))
 
 
+def every_20th(ex):
+    return ex.where(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 20 == 0)
+
+
+@query("m03_predictions")
+def m03_predictions(spark, sf):
+    """Targets predicted for every 20th transition from its nearest other example by input vector."""
+    ex = cut(examples(transitions(spark, sf)), "examples")
+    q = every_20th(ex)
+    return predicted(ex, q, ranked(ex, q, "input", 1), False)
+
+
 @query("m05_before_after_prototypes", f"WITH {TR}, x AS (SELECT 'before' AS side, structured_action.kind AS action, len(repo_before.state.repo_embedding) AS dim, generate_subscripts(repo_before.state.repo_embedding, 1) - 1 AS i, unnest(repo_before.state.repo_embedding) AS v FROM tr UNION ALL SELECT 'after', structured_action.kind, len(repo_after.state.repo_embedding), generate_subscripts(repo_after.state.repo_embedding, 1) - 1, unnest(repo_after.state.repo_embedding) FROM tr) SELECT side, action, dim::INT AS dim, i::INT AS i, round(round(sum(v), 6) / count(v), 6) AS mean FROM x GROUP BY 1, 2, 3, 4")
 def m05(spark, sf):
     tr = transitions(spark, sf).select(F.col("structured_action.kind").alias("action"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"repo_{s}.state.repo_embedding").alias("v")) for s in ("before", "after")])).alias("x")).select("action", "x.*")
