@@ -79,6 +79,15 @@ def evenly_spaced(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return rows.join(F.broadcast(picks), "__at", "left_semi" if n <= 100_000 else "inner").drop("__at")
 
 
+def evenly_spaced_by(df: DataFrame, group: str, order: Sequence[Column], n: int) -> DataFrame:
+    """As :func:`evenly_spaced` in every group: places round-half-even(i * (N - 1) / (n - 1)), n at least 2."""
+    rows = numbered(df, [group], order, "__at").join(df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n")), F.col(group).eqNullSafe(F.col("__group")))
+    step, at = (F.col("__n") - 1) / F.lit(float(n - 1)), F.col("__at") - 1
+    first = F.round(at / step).cast("long")
+    taken = F.exists(F.sequence(first - 1, first + 1), lambda i: (i >= 0) & (i < n) & (F.bround(i * step) == at))
+    return rows.where((F.col("__n") <= n) | taken).drop("__at", "__group", "__n")
+
+
 def round_robin(df: DataFrame, group: str, order: Sequence[Column], per_group: int, cap: int) -> DataFrame:
     """The first ``cap`` rows when the groups take turns, each giving at most ``per_group`` rows in its order."""
     turn = top_k(df, [group], order, per_group, "turn")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrymint.functions.hashing import short_id, stable_fraction
 from quarrymint.functions.text import normalized, tokens
 from quarrymint.operators.learners import fit_pairwise, fit_perceptron, linear_score, predict
-from quarrymint.operators.ranking import evenly_spaced, first_label, first_where, round_robin, top_k
+from quarrymint.operators.ranking import evenly_spaced, evenly_spaced_by, first_label, first_where, round_robin, top_k
 from quarrymint.operators.retrieval import encode_text, knn, prototype_score
 from quarrymint.plans.base import ORDER, PLAN, TR, C, O, T, outcomes, register, sort_order, tasks, transitions
 from quarrymint.plans.rollup_queries import placed
@@ -302,6 +302,28 @@ def r10(spark, sf):
     return e.join(m, "label").select("vec_id", score.alias("score"))
 
 
+#: Most exemplars of a label; the label that stands for git transitions, which have no vectors in the test tables.
+EXEMPLARS, GIT_LABEL = 256, 0
+
+
+@query("r10_exemplar_scores", f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT label, list(x ORDER BY i) AS p FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e) GROUP BY 1, 2) GROUP BY label),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n FROM e), k AS (SELECT label, v FROM o WHERE n <= {EXEMPLARS} OR list_contains(list_transform(range({EXEMPLARS}), lambda i: round_even(i * ((n - 1) / {EXEMPLARS - 1}.0::DOUBLE), 0)::BIGINT), place)),
+a AS (SELECT vec_id, max(list_cosine_similarity(e.v, k.v)) AS s FROM e JOIN k USING (label) GROUP BY 1), g AS (SELECT vec_id, max(list_cosine_similarity(e.v, k.v)) AS s FROM e JOIN k ON k.label = {GIT_LABEL} GROUP BY 1)
+SELECT e.vec_id, round((0.5 * list_cosine_similarity(v, p) + 0.3 * a.s + 0.2 * coalesce(g.s, 0)) / (CASE WHEN g.s IS NULL THEN 0.8 ELSE 1.0 END), 6) AS score FROM e JOIN m USING (label) JOIN a USING (vec_id) LEFT JOIN g USING (vec_id)""")
+def r10_exemplars(spark, sf):
+    """R10 in full: the mean of the label, the nearest of its exemplars, and the nearest of the exemplars of GIT_LABEL."""
+    from quarrymint.functions.vec import cosine
+
+    e = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    m = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("a")).select("label", F.col("a.x").alias("p"))  # as long as a vector
+    some = evenly_spaced_by(e, "label", [F.col("vec_id")], EXEMPLARS).select("label", "v")
+    lists = some.groupBy("label").agg(F.collect_list("v").alias("own"))  # at most EXEMPLARS vectors
+    git = lists.where(F.col("label") == GIT_LABEL).select(F.col("own").alias("git"))
+    near = lambda c: F.array_max(F.transform(c, lambda x: cosine(F.col("v"), x)))
+    score = prototype_score([(0.5, cosine(F.col("v"), F.col("p"))), (0.3, near("own")), (0.2, near("git"))])
+    return e.join(m, "label").join(lists, "label").join(F.broadcast(git), F.lit(True), "left").select("vec_id", score.alias("score"))
+
+
 @query("r11_exact_lookup", f"WITH {T}, n AS (SELECT {_NORM} AS norm, family, task_id FROM t WHERE prompt IS NOT NULL), f AS (SELECT norm, arg_min(coalesce(family, '-'), task_id) AS label FROM n GROUP BY norm) SELECT n.task_id, f.label, 1.0::DOUBLE AS confidence FROM n JOIN f USING (norm)")
 def r11(spark, sf):
     n = tasks(spark, sf).where(F.col("prompt").isNotNull()).select("task_id", normalized(F.col("prompt")).alias("norm"), "family")

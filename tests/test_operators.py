@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ from quarrymint.functions.vec import cosine, normalize
 from quarrymint.operators import retrieval
 from quarrymint.operators.joins import bounded_walk, leave_one_out, one_per_key, outer_with_status, overlap_counts
 from quarrymint.operators.learners import fit_pairwise, fit_perceptron, linear_score, predict
-from quarrymint.operators.ranking import evenly_spaced, movement, numbered, pass_change, round_robin, top_k
+from quarrymint.operators.ranking import evenly_spaced, evenly_spaced_by, movement, numbered, pass_change, round_robin, top_k
 from quarrymint.operators.retrieval import encode_text, knn, prototype_score
 from quarrymint.operators.rollup import by_dimensions, calibration, majority, rank_metrics, sigmoid
+from tests.oracle import same
 
 
 def test_hashes_equal_hashlib(spark):
@@ -184,3 +186,27 @@ def test_knn_in_slices(spark, monkeypatch, ties):
     for q, a in rows:
         near = sorted((i for i, _ in rows if i != q), reverse=ties == "desc")
         assert got[q] == sorted(near, key=lambda i: -sum(x * y for x, y in zip(a, dict(rows)[i], strict=True)))[:3]
+
+
+def test_even_samples_of_groups(spark):
+    rows = [(g, i) for g, n in (("a", 1), ("b", 5), ("c", 6), ("d", 11), ("e", 97), (None, 20)) for i in range(n)]
+    got = {}
+    for r in evenly_spaced_by(spark.createDataFrame(rows, "g string, i long"), "g", [F.col("i")], 5).collect():
+        got.setdefault(r["g"], set()).add(r["i"])
+    for g in {g for g, _ in rows}:
+        n = sum(x == g for x, _ in rows)
+        assert got[g] == (set(range(n)) if n <= 5 else {round(i * ((n - 1) / 4)) for i in range(5)})
+
+
+def test_r10_exemplars_change_the_score(spark, tmp_path):
+    from quarrymint.plans import registry
+
+    rnd = random.Random(2)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(900)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    full = registry.queries()["r10_exemplar_scores"](spark, str(tmp_path))
+    same(full, con, registry.oracle_sql()["r10_exemplar_scores"])
+    plain = {r["vec_id"]: r["score"] for r in registry.queries()["r10_prototype_scores"](spark, str(tmp_path)).collect()}
+    assert sum(abs(r["score"] - plain[r["vec_id"]]) > 1e-3 for r in full.collect()) > 800
