@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymint.functions.vec import norm, subtract
+from quarrymint.functions.vec import euclidean, norm, subtract
 from quarrymint.operators.retrieval import encode_text, knn
 
 #: Weights of prompt, repository and hashed categories in an input vector; length of the hashed part.
@@ -77,3 +77,40 @@ def predicted(ex: DataFrame, queries: DataFrame, near: DataFrame, leave_out: boo
         F.when(vector, F.when(by_action.isNotNull(), "action_conditioned_average").otherwise("global_average")).alias("delta_kind"),
         F.when(vector, F.transform(F.zip_with("before", delta, lambda a, b: a + b), lambda x: F.round(x, 6))).alias("predicted"),
     )
+
+
+def evaluated(ex: DataFrame, queries: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Leave-one-out evaluation of the query examples that have an input, beside the nearest prompt: (one row for each
+    query and model, prompt_only or v0; the same rows of v0 with the nearest example to the predicted vector).
+
+    Rows have the expected and the first predicted outcome_kind and validation_status, whether it is among the k nearest
+    (null where nothing is expected), is_residual (of either the first is missed), applicable (a source outcome) and the
+    distance of the predicted vector from the true one.
+    """
+    queries = queries.where(F.col("input").isNotNull())
+    fields = ("outcome_kind", "validation_status")
+    truth = queries.select("id", *[F.when(F.col(f) != "", F.col(f)).alias(f"expected_{f}") for f in fields], F.col("outcome_kind").isin(*SOURCE_KINDS).alias("is_source"), "after", F.col("target_kind").alias("own"))
+    out = []
+    for model, column in (("v0", "input"), ("prompt_only", "prompt")):
+        near = ranked(ex, queries, column, k)
+        of = near.join(ex.select("id", *fields, F.col("target_kind").alias("kind"), F.col("after").alias("vector")), "id")
+        first = lambda c: F.max_by(c, -F.col("rank"))
+        top = of.groupBy(F.col("query").alias("id")).agg(first("id").alias("nearest"), *[first(f).alias(f"predicted_{f}") for f in fields], *[F.collect_list(f).alias(f"top_{f}") for f in fields], first("kind").alias("kind"), first("vector").alias("vector"))  # k rows
+        j = truth.join(top, "id", "left")
+        if model == "v0":
+            j = j.drop("vector").join(predicted(ex, queries, near, True).select("id", F.col("predicted").alias("vector")), "id")
+        hits = [F.coalesce(F.array_contains(f"top_{f}", F.col(f"expected_{f}")), F.lit(False)) for f in fields]
+        missed = [~F.col(f"expected_{f}").eqNullSafe(F.col(f"predicted_{f}")) for f in fields]
+        near_vector = (F.col("own") == "repo_after_embedding") & (F.col("kind") == "repo_after_embedding") & (F.size("vector") == F.size("after"))
+        out.append(
+            j.select(
+                F.lit(model).alias("model"), "id", "nearest",
+                *[c for f, h in zip(fields, hits, strict=True) for c in (F.col(f"expected_{f}"), F.col(f"predicted_{f}"), F.when(F.col(f"expected_{f}").isNotNull(), h).alias(f"top_k_{f}"))],
+                (missed[0] | missed[1]).alias("is_residual"), F.coalesce("is_source", F.lit(False)).alias("applicable"),
+                F.when(near_vector, F.round(euclidean(F.col("vector"), F.col("after")), 6)).alias("distance"), F.when(near_vector, F.col("vector")).alias("vector"),
+            )
+        )
+    v0 = out[0]
+    states = ex.where(F.col("target_kind") == "repo_after_embedding").select("id", F.col("after").alias("v"))
+    close = knn(states, v0.select("id", F.col("vector").alias("v")), 1, "euclidean").select(F.col("query").alias("id"), F.col("id").alias("nearest_state"), F.col("score").alias("nearest_state_distance"))
+    return v0.unionByName(out[1]).drop("vector"), v0.drop("vector").join(close, "id", "left")

@@ -12,7 +12,7 @@ from quarrymint.functions.vec import add, normalize, subtract
 from quarrymint.operators.learners import fit_pairwise
 from quarrymint.operators.retrieval import encode_text, knn
 from quarrymint.operators.rollup import ratio
-from quarrymint.operators.transitions import examples, predicted, ranked
+from quarrymint.operators.transitions import evaluated, examples, predicted, ranked
 from quarrymint.plans.base import ORDER, PLAN, TR, C, O, T, outcomes, register, tasks, transitions
 from quarrymint.plans.order_queries import _Q, _features, _score, _vectors
 from quarrymint.session import cut, read, scratch_path
@@ -209,6 +209,33 @@ def m03_predictions(spark, sf):
     return predicted(ex, q, ranked(ex, q, "input", 1), False)
 
 
+def _evaluated(spark, sf):
+    ex = cut(examples(transitions(spark, sf)), "examples")
+    return evaluated(ex, every_20th(ex))
+
+
+@query("m04_evaluation")
+def m04_evaluation(spark, sf):
+    """M04 over every 20th transition: hits among the nearest 3 and distances, of V0 and of the nearest prompt."""
+    e = cut(_evaluated(spark, sf)[0], "evaluated")
+    fields = ("outcome_kind", "validation_status")
+    cols = []
+    for f in fields:
+        total, one, top = F.count(f"expected_{f}"), F.count_if(F.col(f"expected_{f}") == F.col(f"predicted_{f}")), F.count_if(f"top_k_{f}")
+        cols += [total.alias(f"{f}_total"), one.alias(f"{f}_top_1"), top.alias(f"{f}_top_3"), ratio(one, total).alias(f"{f}_top_1_accuracy"), ratio(top, total).alias(f"{f}_top_3_accuracy")]
+    d = F.col("distance")
+    return e.groupBy("model").agg(F.count("*").alias("rows_"), *cols, F.count_if("applicable").alias("applicable"), F.count(d).alias("predicted"), F.round(F.avg(d), 6).alias("mean_distance"), F.min(d).alias("least"), F.max(d).alias("most"))
+
+
+@query("m04_residuals")
+def m04_residuals(spark, sf):
+    """The 20 worst predictions of m04_evaluation: missed ones first, then by distance and id, the largest first."""
+    both, v0 = _evaluated(spark, sf)
+    prompt = both.where(F.col("model") == "prompt_only").select("id", F.col("nearest").alias("prompt_nearest"), F.col("is_residual").alias("prompt_missed"))
+    worst = v0.where(F.col("is_residual") | F.col("distance").isNotNull()).orderBy(F.desc("is_residual"), F.coalesce("distance", F.lit(-1.0)).desc(), F.desc("id")).limit(20)
+    return worst.drop("model").join(prompt, "id", "left")
+
+
 @query("m05_before_after_prototypes", f"WITH {TR}, x AS (SELECT 'before' AS side, structured_action.kind AS action, len(repo_before.state.repo_embedding) AS dim, generate_subscripts(repo_before.state.repo_embedding, 1) - 1 AS i, unnest(repo_before.state.repo_embedding) AS v FROM tr UNION ALL SELECT 'after', structured_action.kind, len(repo_after.state.repo_embedding), generate_subscripts(repo_after.state.repo_embedding, 1) - 1, unnest(repo_after.state.repo_embedding) FROM tr) SELECT side, action, dim::INT AS dim, i::INT AS i, round(round(sum(v), 6) / count(v), 6) AS mean FROM x GROUP BY 1, 2, 3, 4")
 def m05(spark, sf):
     tr = transitions(spark, sf).select(F.col("structured_action.kind").alias("action"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"repo_{s}.state.repo_embedding").alias("v")) for s in ("before", "after")])).alias("x")).select("action", "x.*")

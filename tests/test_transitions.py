@@ -94,3 +94,40 @@ def test_m03_predicts_every_20th_transition(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "prompt_repo_transitions.parquet"))
     got = {r["id"]: r["nearest"] for r in registry.queries()["m03_predictions"](spark, str(tmp_path)).collect()}
     assert got == {i: o.near(i, o.input, 1)[0] for i in ("t-0000", "t-0020", "t-0040")}
+
+
+def test_evaluation_equals_brute_force(spark, tmp_path):
+    rows = made(11, 61)
+    o = Oracle(rows)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "prompt_repo_transitions.parquet"))
+    got = {r["model"]: r for r in registry.queries()["m04_evaluation"](spark, str(tmp_path)).collect()}
+    ids = ["t-0000", "t-0020", "t-0040", "t-0060"]
+    prompts = {i: r[2][0] for i, r in o.rows.items()}
+    expected = {i: (o.rows[i][4][0], o.rows[i][5][0]) for i in ids}
+    residuals = []
+    for model, vectors in (("v0", o.input), ("prompt_only", prompts)):
+        near, dist = {i: o.near(i, vectors, 3) for i in ids}, []
+        for i in ids:
+            n = near[i][0]
+            p = o.predict(i, n, True)[0] if model == "v0" and n in o.delta else o.rows[n][7][0][0] if n in o.delta else None
+            d = math.dist(p, o.rows[i][7][0][0]) if p and i in o.delta else None
+            dist += [d] if d is not None else []
+            if model == "v0":
+                miss = (o.rows[n][4][0], o.rows[n][5][0]) != expected[i]
+                residuals += [(miss, -1.0 if d is None else round(d, 5), i)] if miss or d is not None else []
+        r = got[model]
+        for at, f, of in ((0, "outcome_kind", 4), (1, "validation_status", 5)):
+            some = [i for i in ids if expected[i][at]]
+            value = lambda n: o.rows[n][of][0]  # noqa: B023, E731
+            assert (r["rows_"], r[f"{f}_total"]) == (len(ids), len(some))
+            assert r[f"{f}_top_1"] == sum(value(near[i][0]) == expected[i][at] for i in some)
+            assert r[f"{f}_top_3"] == sum(expected[i][at] in map(value, near[i]) for i in some)
+        assert r["applicable"] == sum(i in o.delta for i in ids) and r["predicted"] == len(dist)
+        assert not dist or r["mean_distance"] == pytest.approx(sum(dist) / len(dist), abs=1e-5)
+    worst = registry.queries()["m04_residuals"](spark, str(tmp_path)).collect()
+    assert {(r["is_residual"], -1.0 if r["distance"] is None else round(r["distance"], 5), r["id"]) for r in worst} == set(residuals)
+    states = {i: r[7][0][0] for i, r in o.rows.items() if i in o.delta}
+    for r in worst:
+        if r["distance"] is not None:
+            p = o.predict(r["id"], r["nearest"], True)[0]
+            assert r["nearest_state"] == min((round(math.dist(p, v), 6), i) for i, v in states.items() if i != r["id"])[1]
