@@ -182,6 +182,29 @@ def r05(spark, sf):
     return knn(p, guess, 3)
 
 
+def _predicted_hits(spark, sf):
+    """For every query of r05: its label, its nearest result and label, and whether its label is among the 3 results'."""
+    near = r05(spark, sf)
+    e = read(spark, sf, "embeddings")
+    j = near.join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("expected")), "query").join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
+    hit = F.coalesce(F.col("label") == F.col("expected"), F.lit(False))
+    return j.where(F.col("expected").isNotNull()).groupBy("query", "expected").agg(first("id").alias("nearest"), first("score").alias("score"), first("label").alias("nearest_label"), F.bool_or(hit & (F.col("rank") == 1)).alias("hit_1"), F.bool_or(hit).alias("hit_3"))
+
+
+@query("r08_predicted_target_accuracy")
+def r08(spark, sf):
+    """Accuracy of the labels that r05's predicted targets retrieve, and the queries missed."""
+    one, three = F.count_if("hit_1"), F.count_if("hit_3")
+    return _predicted_hits(spark, sf).agg(F.count("*").alias("queries"), one.alias("top_1"), three.alias("top_3"), ratio(one, F.count("*")).alias("top_1_accuracy"), ratio(three, F.count("*")).alias("top_3_accuracy"), F.count_if(~F.col("hit_1")).alias("missed_top_1"), F.count_if(~F.col("hit_3")).alias("missed_top_3"))
+
+
+@query("r08_misses")
+def r08_misses(spark, sf):
+    """The first 20 queries whose nearest result has another label."""
+    return _predicted_hits(spark, sf).where(~F.col("hit_1")).orderBy("query").limit(20)
+
+
 @query("r09_mode_comparison", f"WITH {_Q}, {_S5}, d AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_distance(q.v, e.v), 6) + 0.0 AS score FROM q JOIN e ON q.vec_id <> e.vec_id), f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, id) AS k FROM d) SELECT count(*) AS both_modes, count(*) FILTER (WHERE r.id = f.id) AS same_nearest FROM r JOIN f ON f.query = r.query AND f.k = 1 WHERE r.k = 1")
 def r09(spark, sf):
     p = _vectors(spark, sf)

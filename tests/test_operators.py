@@ -210,3 +210,24 @@ def test_r10_exemplars_change_the_score(spark, tmp_path):
     same(full, con, registry.oracle_sql()["r10_exemplar_scores"])
     plain = {r["vec_id"]: r["score"] for r in registry.queries()["r10_prototype_scores"](spark, str(tmp_path)).collect()}
     assert sum(abs(r["score"] - plain[r["vec_id"]]) > 1e-3 for r in full.collect()) > 800
+
+
+def test_predicted_targets_are_evaluated(spark, tmp_path):
+    from quarrymint.plans import registry
+
+    rnd = random.Random(4)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)], i % 3) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    vec, label = {i: v for i, v, _ in rows}, {i: y for i, _, y in rows}
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    near = lambda v, own, k: [i for _, i in sorted((-round(sum(a * b for a, b in zip(v, w, strict=True)) / size(v) / size(w), 6), i) for i, w in vec.items() if i != own)[:k]]
+    found = {}
+    for q in range(0, 200, 20):
+        one = near(vec[q], q, 1)[0]
+        target = near(vec[one], one, 1)[0]
+        found[q] = near([a + c - b for a, b, c in zip(vec[q], vec[one], vec[target], strict=True)], q, 3)
+    top_1, top_3 = sum(label[f[0]] == label[q] for q, f in found.items()), sum(label[q] in map(label.get, f) for q, f in found.items())
+    r = registry.queries()["r08_predicted_target_accuracy"](spark, str(tmp_path)).first().asDict()
+    assert r == {"queries": 10, "top_1": top_1, "top_3": top_3, "top_1_accuracy": top_1 / 10, "top_3_accuracy": top_3 / 10, "missed_top_1": 10 - top_1, "missed_top_3": 10 - top_3}
+    misses = registry.queries()["r08_misses"](spark, str(tmp_path)).collect()
+    assert [(m["query"], m["nearest"]) for m in misses] == [(q, f[0]) for q, f in found.items() if label[f[0]] != label[q]]
