@@ -375,6 +375,6 @@ def m14(spark, sf):
     """Source types of tasks predicted from prompt tokens: confusion of expected and predicted."""
     t = tasks(spark, sf).where("prompt is not null and source_type is not null")
     train = t.where(F.lower(F.trim("split")) == "train")
-    w = fit_perceptron(train, "task_id", tokens(F.col("prompt")), F.col("source_type"), 3)
+    w = fit_perceptron(train, "task_id", tokens(F.col("prompt")), F.col("source_type"))
     p = predict(w, t.where(_sp() == "test"), "task_id", tokens(F.col("prompt")))
     return p.join(t.select("task_id", "source_type"), "task_id").groupBy(F.col("source_type").alias("expected"), "predicted").agg(F.count("*").alias("n"))

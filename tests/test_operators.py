@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from inspect import signature
 
 import duckdb
 import pytest
@@ -231,3 +232,16 @@ def test_predicted_targets_are_evaluated(spark, tmp_path):
     assert r == {"queries": 10, "top_1": top_1, "top_3": top_3, "top_1_accuracy": top_1 / 10, "top_3_accuracy": top_3 / 10, "missed_top_1": 10 - top_1, "missed_top_3": 10 - top_3}
     misses = registry.queries()["r08_misses"](spark, str(tmp_path)).collect()
     assert [(m["query"], m["nearest"]) for m in misses] == [(q, f[0]) for q, f in found.items() if label[f[0]] != label[q]]
+
+
+def test_m14_fits_ten_epochs(spark, monkeypatch, tmp_path):
+    from quarrymint.plans import order_queries
+
+    asked = []
+    fit = order_queries.fit_perceptron
+    monkeypatch.setattr(order_queries, "fit_perceptron", lambda *a, **k: asked.append(signature(fit).bind(*a, **k)) or fit(*a, **k))
+    rows = [(i, "train" if i % 4 else "test", f"w{i % 2} x{i % 3}", "ab"[i % 2], 0) for i in range(20)]
+    spark.createDataFrame(rows, "task_id long, split string, prompt string, source_type string, ingested_at long").write.parquet(str(tmp_path / "tasks.parquet"))
+    assert order_queries.QUERIES["m14_token_perceptron"](spark, str(tmp_path)).count() > 0
+    asked[0].apply_defaults()
+    assert asked[0].arguments["epochs"] == 10
