@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side may be broadcast only while its row count times its row width stays under this many bytes.
@@ -15,10 +16,17 @@ BROADCAST_BYTES = 32 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: A key with at least this share of the rows is hot; its rows are spread over so many parts in a join.
+HOT_SHARE, SALTS = 1 / 256, 32
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder in
+    local mode, and an error on a cluster, whose machines would each write to a folder of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrymint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -78,3 +86,26 @@ def _clean() -> None:
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``broadcast(df)`` if its known row count keeps it under :data:`BROADCAST_BYTES`, else ``df`` unchanged (a shuffled join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def hot_values(df: DataFrame, key: Column) -> list:
+    """The values of ``key`` (a number or text) that hold at least HOT_SHARE of the rows, null aside. They come from one
+    mergeable sketch of bounded size, so no key is shuffled; a few more than asked for may be listed."""
+    most = int(1 / HOT_SHARE)
+    row = df.select(key.alias("k")).where(F.col("k").isNotNull()).agg(F.expr(f"approx_top_k(k, {most}, {16 * most})").alias("top"), F.count("*").alias("n")).first()
+    least = max(2.0, row["n"] * HOT_SHARE)
+    return [r["item"] for r in row["top"] or [] if r["count"] >= least]
+
+
+def skew_join(many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner") -> DataFrame:
+    """``many.join(one, keys, how)`` (inner or left) by a shuffle on the keys, where a hot key's rows of ``many`` go to
+    SALTS parts by the hash of ``spread`` and the rows of ``one`` for it, which must be few a key, are copied to each."""
+    h = F.xxhash64(*[F.col(k) for k in keys])
+    hot = hot_values(many, h)
+    if not hot:
+        return many.join(one.hint("merge"), list(keys), how)
+    is_hot = h.isin(hot)
+    left = many.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = one.withColumn("__salt", F.explode(copies))
+    return left.join(right.hint("merge"), [*keys, "__salt"], how).drop("__salt")
