@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymint.session import BROADCAST_BYTES, cut
+from quarrymint.session import cut, hot_values
 
 #: Shares of the scored rows from the top at which a band ends; the last band has the rest, and rows without a score come after it.
 BANDS = (1 / 16, 1 / 4)
-#: Bytes that one key of a broadcast set of filled groups may take on average; wider keys make the set count as larger.
-KEY_BYTES = 128
 
 
 def group_key(columns: Sequence[Column]) -> Column:
@@ -48,15 +46,17 @@ def top_n(
 
     Method: the scored rows are written once, range-partitioned into bands by approximate quantiles of the score (equal
     scores share a band, so the quantiles' error moves work, never results). Bands are taken from the top. In each, the
-    groups that are already full are removed by an anti-join, and the rest is ranked exactly; the limit is applied in the
-    map tasks first, so a hot group sends at most n items per map task. The set of full groups is broadcast while its
-    counted size allows it; beyond that the anti-join follows the ranking, on the ranking's own partitioning. Groups that
-    several bands filled get a last exact ranking over at most n items per band.
+    groups that are already full are removed by an anti-join before anything is ranked, at every size; the join is by
+    shuffle on the group, which the ranking then uses. Hot groups take no part in it (see ``_without``), and their limit is
+    applied in the map tasks, so that each sends at most n items per map task. Groups that several bands filled get a last
+    exact ranking over at most n items per band. A group travels as 128 bits of its hash.
     """
     names = [score, *(c for c, _ in ties)]
     directions = ["desc", *(d for _, d in ties)]
+    whole = group_key(group)
     items = df.select(
-        group_key(group).alias("group_key"),
+        F.xxhash64(whole).alias("g1"),
+        F.xxhash64(F.concat(F.lit("#"), whole)).alias("g2"),
         *[_orderable(df, c).alias(f"o{i}") for i, c in enumerate(names)],
         F.col(f"`{key}`").alias("__id"),
     )
@@ -66,24 +66,34 @@ def top_n(
         band = F.when(F.col("o0") >= F.lit(cuts[i]), i).otherwise(band)
     band = F.when(F.col("o0").isNull(), len(cuts) + 1).otherwise(band)
     banded = cut(items.withColumn("band", band.cast("int")), "topn-bands", ["band"])
+    hot = hot_values(banded, F.col("g1"))
 
     order = [(F.col(f"o{i}").desc_nulls_last() if d == "desc" else F.col(f"o{i}").asc_nulls_last()) for i, d in enumerate(directions)]
-    by_group = Window.partitionBy("group_key").orderBy(*order, F.col("__id").asc_nulls_last())
+    by_group = Window.partitionBy("g1", "g2").orderBy(*order, F.col("__id").asc_nulls_last())
     ranked = lambda rows: rows.withColumn("rank", F.dense_rank().over(by_group)).where(F.col("rank") <= n)
 
     won: list[DataFrame] = []
     full: DataFrame | None = None
     for b in range(len(cuts) + 2):
         rows = banded.where(F.col("band") == b).drop("band")
-        if full is None:
-            found = ranked(rows)
-        elif full_count * KEY_BYTES <= BROADCAST_BYTES:
-            found = ranked(rows.join(F.broadcast(full), "group_key", "left_anti"))
-        else:
-            found = ranked(rows).join(full, "group_key", "left_anti")
-        won.append(cut(found.drop("rank").distinct(), f"topn-band{b}"))
+        if full is not None:
+            rows = _without(rows, full.where(F.col("n") >= n).select("g1", "g2"), hot)
+        won.append(cut(ranked(rows).drop("rank").distinct(), f"topn-band{b}"))
         if b <= len(cuts):
-            full = cut(reduce(DataFrame.unionByName, won).groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") >= n).select("group_key"), "topn-full")
-            full_count = full.count()
+            newer = won[-1].groupBy("g1", "g2").agg(F.count("*").alias("n"))
+            counted = newer if full is None else full.unionByName(newer).groupBy("g1", "g2").agg(F.sum("n").alias("n"))
+            full = cut(counted, "topn-counts")
     name = key if key not in ("group_key", "rank") else f"{key}_"
-    return ranked(reduce(DataFrame.unionByName, won)).select(F.col("__id").alias(name), "group_key", "rank")
+    return ranked(reduce(DataFrame.unionByName, won)).select(F.col("__id").alias(name), F.concat_ws("-", F.hex("g1"), F.hex("g2")).alias("group_key"), "rank")
+
+
+def _without(rows: DataFrame, full: DataFrame, hot: Sequence[int]) -> DataFrame:
+    """The rows whose group is not among those of ``full``. Of the few hot groups it is known which are full, so their
+    rows are dropped or kept in the map task; all others meet ``full`` in an anti-join by shuffle, which the ranking's
+    partitioning is."""
+    if not hot:
+        return rows.join(full.hint("merge"), ["g1", "g2"], "left_anti")
+    done = {r["g1"] for r in full.where(F.col("g1").isin(hot)).collect()}  # as few as hot groups
+    kept_hot = rows.where(F.col("g1").isin([g for g in hot if g not in done]))
+    others = rows.where(~F.col("g1").isin(hot)).join(full.hint("merge"), ["g1", "g2"], "left_anti")
+    return kept_hot.unionByName(others)

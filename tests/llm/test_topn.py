@@ -42,10 +42,18 @@ def test_matches_brute_force(spark, seed, n):
     assert set(got) == brute(rows, n)
 
 
-def test_shuffled_anti_join_gives_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [True, False])
+def test_full_groups_leave_before_the_ranking(spark, monkeypatch, hot):
+    if not hot:
+        monkeypatch.setattr(topn, "hot_values", lambda df, key: [])
+    plans, cut = [], topn.cut
+    monkeypatch.setattr(topn, "cut", lambda df, label, by=None: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, label, by))
     rows = rows_of(3, 300)
-    monkeypatch.setattr(topn, "BROADCAST_BYTES", -1)
     assert set(run(spark, rows, 3)) == brute(rows, 3)
+    later = [p for label, p in plans if label.startswith("topn-band") and label[9:] in ("1", "2", "3")]
+    assert len(later) == 3
+    for p in later:
+        assert p.index("Window [") < p.index("LeftAnti") and "strategy=merge" in p and "strategy=broadcast" not in p
 
 
 def test_all_scores_equal_or_missing(spark):
