@@ -97,11 +97,16 @@ def hot_values(df: DataFrame, key: Column) -> list:
     return [r["item"] for r in row["top"] or [] if r["count"] >= least]
 
 
-def skew_join(many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner") -> DataFrame:
+def join_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
+def skew_join(many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner", hot: list | None = None) -> DataFrame:
     """``many.join(one, keys, how)`` (inner or left) by a shuffle on the keys, where a hot key's rows of ``many`` go to
-    SALTS parts by the hash of ``spread`` and the rows of ``one`` for it, which must be few a key, are copied to each."""
-    h = F.xxhash64(*[F.col(k) for k in keys])
-    hot = hot_values(many, h)
+    SALTS parts by the hash of ``spread`` and the rows of ``one`` for it are copied to each. ``hot`` gives the hot values of
+    ``join_hash(keys)`` where they are known from elsewhere; they decide where rows go, never which rows come out."""
+    h = join_hash(keys)
+    hot = hot_values(many, h) if hot is None else hot
     if not hot:
         return many.join(one.hint("merge"), list(keys), how)
     is_hot = h.isin(hot)
