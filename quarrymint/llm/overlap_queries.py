@@ -5,40 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymint.llm.overlap import similar_across
+from quarrymint.llm.overlap import member_pairs, overlap_counts, similar_across
 from quarrymint.session import read
 
 LEAST = 0.75
 
 
 def _side():
-    split = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
+    split = _split()
     return F.when(split == "train", "train").when(split.isin("validation", "val", "dev", "test"), "eval")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, members = similar_across(read(spark, sf_dir, "tasks"), "task_id", "prompt", _side(), LEAST)
-    left = members.where(F.col("side") == "eval").select(F.col("c").alias("c_eval"), F.col("task_id").alias("eval_id"))
-    right = members.where(F.col("side") == "train").select(F.col("c").alias("c_train"), F.col("task_id").alias("train_id"))
-    return pairs.join(left, "c_eval").join(right, "c_train").select("eval_id", "train_id", "common", "distinct_words")
+def _split():
+    return F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).where(F.col("eval_id") != F.col("train_id"))
+    pairs, members = similar_across(read(spark, sf_dir, "tasks"), "task_id", "prompt", _side(), LEAST)
+    p = member_pairs(pairs, members, "task_id").where(F.col("eval_id") != F.col("train_id"))
     return p.select(F.least("eval_id", "train_id").alias("task_id_a"), F.greatest("eval_id", "train_id").alias("task_id_b")).distinct()
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation split and source_type: tasks, tasks that overlap training, and pairs."""
-    tasks = read(spark, sf_dir, "tasks").where(_side() == "eval")
-    split = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
-    tasks = tasks.select(F.col("task_id").alias("eval_id"), split.alias("eval_split"), "source_type").distinct()
-    hits = _pairs(spark, sf_dir).groupBy("eval_id").agg(F.countDistinct("train_id").alias("n"))
-    return (
-        tasks.join(hits, "eval_id", "left")
-        .groupBy("eval_split", "source_type")
-        .agg(F.count("*").alias("tasks"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
-    )
+    by = ["eval_split", "source_type"]
+    tasks = read(spark, sf_dir, "tasks")
+    whole = tasks.where(_side() == "eval").select("task_id", _split().alias("eval_split"), "source_type").distinct().groupBy(*by).agg(F.count("*").alias("tasks"))
+    pairs, members = similar_across(tasks, "task_id", "prompt", _side(), LEAST, {"eval_split": _split(), "source_type": F.col("source_type")})
+    zero = F.lit(0).cast("long")
+    counts = whole.withColumn("overlapping", zero).withColumn("pairs", zero).unionByName(overlap_counts(pairs, members, by).withColumn("tasks", zero))
+    return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tasks", "overlapping", "pairs")])
 
 
 QUERIES = {"p5_found": p5_found, "p5_counts": p5_counts}

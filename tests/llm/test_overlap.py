@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymint.llm.overlap import banded_distance, layout, lengths_for, most_edits, segment_keys, similar_across, substrings
+from quarrymint.llm.overlap import banded_distance, layout, lengths_for, member_pairs, most_edits, overlap_counts, segment_keys, similar_across, substrings
 
 
 def words(t):
@@ -95,3 +95,38 @@ def test_banded_distance():
     for x, y, got in zip(xs, ys, d, strict=True):
         want = len(set(x) ^ set(y))
         assert got == want or (got > want and want > (len(x) + len(y)) / 7)
+
+
+def test_long_strings_list_every_place_that_short_ones_do(monkeypatch):
+    import quarrymint.llm.overlap as overlap
+
+    for m in (1, 2, 7, 40, 300):
+        few = set(zip(*(v.tolist() for v in substrings.__wrapped__(m, 0.75)), strict=True))
+        monkeypatch.setattr(overlap, "LONG", 0)
+        many = set(zip(*(v.tolist() for v in substrings.__wrapped__(m, 0.75)), strict=True))
+        monkeypatch.undo()
+        assert few <= many and len(many) < 8 * m + 8
+    pos, ln = substrings.__wrapped__(300_000, 0.75)
+    assert len(pos) < 3_000_000 and (pos + ln <= 300_000).all()
+
+
+def test_counts_and_pairs_of_members_with_hot_classes(spark, monkeypatch):
+    import quarrymint.session as session
+
+    monkeypatch.setattr(session, "SALTS", 3)
+    rows = corpus(5, 200) + [(1000 + i, "same words here", "eval" if i % 2 else "train") for i in range(80)] + [(2000, None, "eval")]
+    df = spark.createDataFrame(rows, "id long, text string, side string").withColumn("g", F.col("id") % 3)
+    pairs, members = similar_across(df, "id", "text", F.col("side"), 0.75, {"g": F.col("g")})
+    want = brute(rows, 0.75)
+    assert sorted((r["eval_id"], r["train_id"]) for r in member_pairs(pairs, members, "id").collect()) == sorted(want)
+    got = {r["g"]: (r["overlapping"], r["pairs"]) for r in overlap_counts(pairs, members, ["g"]).collect()}
+    assert got == {g: (len({a for a, _ in want if a % 3 == g}), sum(a % 3 == g for a, _ in want)) for g in range(3)}
+
+
+@pytest.mark.parametrize("name", ["p5_found", "p5_counts"])
+def test_no_side_is_broadcast(spark, name):
+    from quarrymint.llm.overlap_queries import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
