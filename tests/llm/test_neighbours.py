@@ -47,19 +47,52 @@ def test_empty_and_alone(spark):
     assert run(spark, []) == set() and run(spark, BAD) == set() and run(spark, vectors(1, 1)) == set()
 
 
+def unit(seed, n, d):
+    x = np.random.default_rng(seed).normal(size=(n, d))
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+
+
 def test_many_leaves_and_blocks_reach_the_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAF_SIZE", 40)
+    monkeypatch.setattr(neighbours, "LEAF_SIZE", 10)
     monkeypatch.setattr(neighbours, "POINT_BLOCK", 25)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 60)
     rows, report = vectors(4, 1200), {}
     want, got = brute(rows, 3, 0.5), run(spark, rows, 3, 0.5, report)
-    assert report[8]["leaves"] > 8
+    assert report[8]["leaves"] > 60 and 1 < report[8]["visits"] < report[8]["leaves"] and report[8]["recall"] >= 0.998
     assert len(want & got) >= 0.97 * len(want)
 
 
+def test_visits_start_at_one_and_widen_until_the_recall_is_reached(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF_SIZE", 10)
+    rows, seen = vectors(5, 800), []
+    for recall in (0.1, 0.9, 1.0):
+        report = {}
+        df = spark.createDataFrame(rows, "id string, v array<double>, d long")
+        nearest(df, "id", F.col("v"), F.col("d"), 3, recall=recall, report=report)
+        assert report[8]["recall"] >= recall
+        seen.append(report[8]["visits"])
+    assert seen[0] == 1 and seen[0] < seen[1] < seen[2]
+
+
 def test_best_bin_first_visits_every_leaf_once():
-    x = np.random.default_rng(0).normal(size=(600, 6))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    tree = fit_tree(x, 25)
+    x = unit(0, 600, 6)
+    tree = fit_tree(x, 90)
+    assert len(tree.leaves) > 60
     order = tree.visits(x[:20], len(tree.leaves))
-    assert all(sorted(r) == list(range(len(tree.leaves))) for r in order.tolist())
+    assert all(sorted(r) == sorted(tree.leaves) for r in order.tolist())
+
+
+def test_only_children_of_opened_nodes_are_compared():
+    x = unit(1, 20_000, 6)
+    tree = fit_tree(x, 1500)
+    assert len(tree.leaves) > 1000
+    first = tree.visits(x[:50], 4)
+    assert tree.compared < 0.2 * 50 * len(tree.leaves)
+    assert (first == tree.visits(x[:50], 30)[:, :4]).all()
+
+
+def test_the_tree_grows_with_the_vectors():
+    depth = lambda t: len(set(np.searchsorted(t.first, range(len(t.first)))))
+    small, large = fit_tree(unit(2, 4000, 6), 30), fit_tree(unit(2, 4000, 6), 900)
+    assert len(small.leaves) < 60 < 500 < len(large.leaves) and depth(small) < depth(large)
+    assert len(fit_tree(unit(2, 1, 6), 1).leaves) == 1 and (fit_tree(unit(2, 1, 6), 1).visits(unit(3, 4, 6), 9) == 0).all()
