@@ -17,6 +17,17 @@ MATCH, CALL, RETURN, TEST, GO = range(5)
 _DSL = re.compile(r"\s*(?:#[^\n]*|'((?:[^'])+)'|(@?[A-Za-z_]\w*)|([()|*+?=;]))")
 
 
+def _merged(edges: list[dict], final: list[bool]) -> list[int]:
+    """A class for each state, the same for states that no text tells apart."""
+    part, n = [int(f) for f in final], 0
+    while True:
+        numbers: dict = {}
+        part = [numbers.setdefault((part[i], frozenset((sym, part[t]) for sym, t in e.items())), len(numbers)) for i, e in enumerate(edges)]
+        if len(numbers) == n:
+            return part
+        n = len(numbers)
+
+
 class Grammar:
     def __init__(self, text: str, starts: Sequence[str], predicates: dict[str, Callable] | None = None):
         self.predicates = list((predicates or {}).items())
@@ -24,6 +35,7 @@ class Grammar:
         rules = self._parse(text)
         self._number(rules)
         self._tables(starts)
+        self.kind_names = {i: k for k, i in self.kinds.items()}
 
     # --- reading the rules
 
@@ -131,7 +143,15 @@ class Grammar:
             first = new()
             last = build(body, first)
 
-            def closure(states):
+            closures: dict[frozenset, frozenset] = {}
+
+            def closure(states) -> frozenset:
+                states = frozenset(states)
+                if states not in closures:
+                    closures[states] = reached(states)
+                return closures[states]
+
+            def reached(states) -> frozenset:
                 todo, seen = list(states), set(states)
                 while todo:
                     for t in eps[todo.pop()]:
@@ -142,11 +162,9 @@ class Grammar:
 
             ids: dict[frozenset, int] = {}
             todo = [closure([first])]
-            ids[todo[0]] = len(self.edges)
-            self.start_of.append(len(self.edges))
-            self.edges.append({})
-            self.final.append(last in todo[0])
-            self.rule_of.append(rule_id[r])
+            ids[todo[0]] = 0
+            edges: list[dict] = [{}]
+            final = [last in todo[0]]
             while todo:
                 cur = todo.pop()
                 by: dict = defaultdict(set)
@@ -156,95 +174,106 @@ class Grammar:
                 for sym, targets in by.items():
                     nxt = closure(targets)
                     if nxt not in ids:
-                        ids[nxt] = len(self.edges)
-                        self.edges.append({})
-                        self.final.append(last in nxt)
-                        self.rule_of.append(rule_id[r])
+                        ids[nxt] = len(edges)
+                        edges.append({})
+                        final.append(last in nxt)
                         todo.append(nxt)
-                    self.edges[ids[cur]][sym] = ids[nxt]
+                    edges[ids[cur]][sym] = ids[nxt]
+            part = _merged(edges, final)
+            base = len(self.edges)
+            seen: dict[int, int] = {}
+            for i, c in enumerate(part):  # the start is state 0, so its class comes first
+                if c not in seen:
+                    seen[c] = base + len(seen)
+                    self.edges.append({})
+                    self.final.append(final[i])
+                    self.rule_of.append(rule_id[r])
+            for i, c in enumerate(part):
+                for sym, t in edges[i].items():
+                    self.edges[seen[c]][sym] = seen[part[t]]
+            self.start_of.append(base)
 
     # --- lookahead
 
     def _tables(self, starts: Sequence[str]) -> None:
-        n = len(self.edges)
+        """For each state and next token the viable actions. Sets of token kinds are bits of a number; the bit after the last
+        kind stands for the end of the text."""
+        n, end = len(self.edges), 1 << len(self.kinds)
         can_end = list(self.final)
-        first: list[set] = [set() for _ in range(n)]
+        first = [0] * n
         changed = True
         while changed:
             changed = False
-            for s in range(n):
+            for s in reversed(range(n)):
+                look, ends = first[s], can_end[s]
                 for (kind, x), t in self.edges[s].items():
                     if kind == MATCH:
-                        add, end = {x}, False
+                        look |= 1 << x
                     elif kind == TEST:
-                        add, end = first[t], can_end[t]
+                        look |= first[t]
+                        ends = ends or can_end[t]
                     else:
                         b = self.start_of[x]
-                        add = first[b] | (first[t] if can_end[b] else set())
-                        end = can_end[b] and can_end[t]
-                    if not add <= first[s]:
-                        first[s] |= add
-                        changed = True
-                    if end and not can_end[s]:
-                        can_end[s] = True
-                        changed = True
-        follow: list[set] = [set() for _ in self.rule_names]
+                        look |= first[b] | (first[t] if can_end[b] else 0)
+                        ends = ends or (can_end[b] and can_end[t])
+                if look != first[s] or ends != can_end[s]:
+                    first[s], can_end[s], changed = look, ends, True
+        follow = [0] * len(self.rule_names)
         for s in starts:
-            follow[self.rule_names.index(s)].add(-1)
+            follow[self.rule_names.index(s)] |= end
+        calls = [(s, x, t) for s in range(n) for (kind, x), t in self.edges[s].items() if kind == CALL]
         changed = True
         while changed:
             changed = False
-            for s in range(n):
-                for (kind, x), t in self.edges[s].items():
-                    if kind == CALL:
-                        add = first[t] | (follow[self.rule_of[s]] if can_end[t] else set())
-                        if not add <= follow[x]:
-                            follow[x] |= add
-                            changed = True
-        kinds = [*range(len(self.kinds)), -1]
+            for s, x, t in calls:
+                look = follow[x] | first[t] | (follow[self.rule_of[s]] if can_end[t] else 0)
+                if look != follow[x]:
+                    follow[x], changed = look, True
         self.table: list[dict] = []
         serial = 0
         for s in range(n):
             row: dict = {}
             entries = []
+            after = follow[self.rule_of[s]]
             for (kind, x), t in self.edges[s].items():
                 serial += 1
+                beyond = first[t] | (after if can_end[t] else 0)
                 if kind == MATCH:
-                    entries.append(((MATCH, t, 0, 0, serial), {x}))
+                    entries.append(((MATCH, t, 0, 0, serial), 1 << x))
                 elif kind == TEST:
-                    look = first[t] | (follow[self.rule_of[s]] if can_end[t] else set())
-                    entries.append(((TEST, t, x, 0, serial), look))
+                    entries.append(((TEST, t, x, 0, serial), beyond))
                 else:
                     b = self.start_of[x]
-                    look = set(first[b])
-                    if can_end[b]:
-                        look |= first[t] | (follow[self.rule_of[s]] if can_end[t] else set())
-                    entries.append(((CALL, t, x, b, serial), look))
+                    entries.append(((CALL, t, x, b, serial), first[b] | (beyond if can_end[b] else 0)))
             if self.final[s]:
                 serial += 1
-                entries.append(((RETURN, 0, 0, 0, serial), follow[self.rule_of[s]]))
-            for k in kinds:
-                acts = tuple(a for a, look in entries if k in look)
-                if acts:
-                    row[k] = acts
+                entries.append(((RETURN, 0, 0, 0, serial), after))
+            for act, look in entries:
+                while look:
+                    bit = look & -look
+                    look ^= bit
+                    k = -1 if bit == end else bit.bit_length() - 1
+                    row[k] = (*row.get(k, ()), act)
             self.table.append(row)
         self.starts = {s: self.start_of[self.rule_names.index(s)] for s in starts}
 
     # --- recognition
 
-    def recognise(self, tokens: list[int], starts: Sequence[str], info=None) -> bool:
-        """Whether the tokens (ending in EOF) are a text of any of the ``starts``; ``info`` is passed to predicates."""
+    def recognise(self, tokens: list[int], starts: Sequence[str], info=None, forest: dict | None = None) -> bool:
+        """Whether the tokens (ending in EOF) are a text of any of the ``starts``; ``info`` is passed to predicates. With
+        ``forest`` all ways are followed to their end; it gets the stack nodes by (rule, place) and, under None, the starts
+        that take the tokens."""
         toks = [*tokens, -1]
         n = len(tokens)
         table = self.table
         tests = [f for _, f in self.predicates]
-        stack: dict = {}
+        stack: dict = {} if forest is None else forest
         seen: set = set()
         work: list = []
-        roots = []
+        roots = {}
         for s in starts:
             node = [[(-1, None)], []]
-            roots.append(node)
+            roots[s] = node
             work.append(((GO, self.starts[s], 0, 0, 0), node, 0))
         while work:
             act, node, pos = work.pop()
@@ -276,7 +305,7 @@ class Grammar:
                     ends.append(pos)
                     up = node[0]
                     if up[0][1] is None:
-                        if pos == n:
+                        if pos == n and forest is None:
                             return True
                         break
                     for back, parent in up[1:]:
@@ -302,4 +331,7 @@ class Grammar:
                         break
                     seen.add(key)
                 act = acts[0]
+        if forest is not None:
+            forest[None] = [s for s, node in roots.items() if n in node[1]]
+            return bool(forest[None])
         return False

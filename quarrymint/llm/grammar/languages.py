@@ -1,103 +1,17 @@
-"""Lexers and grammars of the supported languages. A lexer gives token kinds, or None where a character fits no token."""
+"""The supported languages: lexers, grammars, dialects, and the rules beside the grammar. A lexer gives token kinds, or None
+where a character fits no token."""
 
 from __future__ import annotations
 
-import io
 import re
-import tokenize
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
+from quarrymint.llm.grammar import ecmascript, markup
+from quarrymint.llm.grammar.early import EarlyErrors
 from quarrymint.llm.grammar.gll import Grammar
-
-# --- Python 3.13 -----------------------------------------------------------------------------------------------------
-
-PYTHON = r"""
-file = (NEWLINE | stmt)* EOF ;
-name = NAME | 'match' | 'case' | 'type' ;
-stmt = simple NEWLINE | compound ;
-simple = small (';' small)* ';'? ;
-small = exprstmt | 'del' stars | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' (test ('from' test)?)? | 'global' name (',' name)* | 'nonlocal' name (',' name)* | import | 'assert' test (',' test)? | 'type' name typeparams? '=' test ;
-exprstmt = rhs (':' test ('=' rhs)? | AUGMENTED rhs | ('=' rhs)+)? ;
-rhs = yield | stars ;
-yield = 'yield' ('from' test | stars)? ;
-stars = (star | test) (',' (star | test))* ','? ;
-star = '*' chain ;
-import = 'import' dotted ('as' name)? (',' dotted ('as' name)?)* | 'from' ('.' | '...')* (dotted)? 'import' ('*' | '(' asname (',' asname)* ','? ')' | asname (',' asname)*) ;
-dotted = name ('.' name)* ;
-asname = name ('as' name)? ;
-suite = simple NEWLINE | NEWLINE INDENT stmt+ DEDENT ;
-compound = if | while | for | try | with | def | class | 'async' (def | for | with) | ('@' named NEWLINE)+ ('async'? def | class) | match ;
-if = 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)? ;
-while = 'while' named ':' suite ('else' ':' suite)? ;
-for = 'for' targets 'in' stars ':' suite ('else' ':' suite)? ;
-try = 'try' ':' suite (('except' '*'? (test (',' test)* ('as' name)?)? ':' suite)+ ('else' ':' suite)? ('finally' ':' suite)? | 'finally' ':' suite) ;
-with = 'with' (item (',' item)* | '(' item (',' item)* ','? ')') ':' suite ;
-item = test ('as' target)? ;
-def = 'def' name typeparams? '(' params? ')' ('->' stars)? ':' suite ;
-params = param (',' param)* ','? ;
-param = name (':' test)? ('=' test)? | '*' (name (':' (test | star))?)? | '**' name (':' test)? | '/' ;
-typeparams = '[' typeparam (',' typeparam)* ','? ']' ;
-typeparam = ('*' | '**')? name (':' test)? ('=' (star | test))? ;
-class = 'class' name typeparams? ('(' args? ')')? ':' suite ;
-match = 'match' stars ':' NEWLINE INDENT case+ DEDENT ;
-case = 'case' pattern (',' pattern)* ','? ('if' named)? ':' suite ;
-pattern = single ('|' single)* ('as' name)? ;
-single = '-'? NUMBER (('+' | '-') NUMBER)? | strings | 'None' | 'True' | 'False' | '*' name | name ('.' name)* ('(' (parg (',' parg)* ','?)? ')')? | '(' (pattern (',' pattern)* ','?)? ')' | '[' (pattern (',' pattern)* ','?)? ']' | '{' (pkey (',' pkey)* ','?)? '}' ;
-parg = name '=' pattern | pattern ;
-pkey = '**' name | single ':' pattern ;
-targets = target (',' target)* ','? ;
-target = '*'? primary ;
-named = test (':=' test)? ;
-test = 'lambda' lparams? ':' test | chain ('if' chain 'else' test)? ;
-lparams = lparam (',' lparam)* ','? ;
-lparam = name ('=' test)? | '*' name? | '**' name | '/' ;
-chain = operand (binary operand)* ;
-binary = 'or' | 'and' | 'in' | 'not' 'in' | 'is' 'not'? | COMPARE | '|' | '^' | '&' | SHIFT | '+' | '-' | '*' | '/' | DIVIDE | '@' | '**' ;
-operand = ('not' | '-' | '+' | '~')* 'await'? primary ;
-primary = atom trailer* ;
-trailer = '(' args? ')' | '[' sub (',' sub)* ','? ']' | '.' name ;
-atom = name | NUMBER | strings | '...' | 'None' | 'True' | 'False' | '(' (yield | elements)? ')' | '[' elements? ']' | '{' (entry (comp | (',' entry)* ','?))? '}' ;
-elements = (star | named) (comp | (',' (star | named))* ','?) ;
-entry = '**' chain | star | named (':' test)? ;
-comp = ('async'? 'for' targets 'in' chain ('if' (chain (':=' test)?))*)+ ;
-args = arg (',' arg)* ','? ;
-arg = '*' test | '**' test | named ('=' test | comp)? ;
-sub = star | named (':' test? (':' test?)?)? | ':' test? (':' test?)? ;
-strings = (STRING | fstring)+ ;
-fstring = FSTART fpart* FEND ;
-fpart = FMIDDLE | '{' (yield | stars) '='? ('!' name)? (':' fpart*)? '}' ;
-"""
-
-_PY_WORDS = set("del pass break continue return raise from global nonlocal assert yield import as if elif else while for in try except finally with def class async lambda or and not is await None True False match case type".split())
-_PY_GROUPS = {o: "AUGMENTED" for o in "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split()} | {o: "COMPARE" for o in "== != < > <= >=".split()} | {"<<": "SHIFT", ">>": "SHIFT", "//": "DIVIDE", "%": "DIVIDE"}
-_PY_ZERO = re.compile(r"0[0-9_]*[1-9][0-9_]*")
-_PY_TYPES = {tokenize.NUMBER: "NUMBER", tokenize.STRING: "STRING", tokenize.NEWLINE: "NEWLINE", tokenize.INDENT: "INDENT", tokenize.DEDENT: "DEDENT", tokenize.ENDMARKER: "EOF", tokenize.FSTRING_START: "FSTART", tokenize.FSTRING_MIDDLE: "FMIDDLE", tokenize.FSTRING_END: "FEND"}
-
-
-def lex_python(text: str, kinds: dict[str, int]):
-    if "\0" in text:
-        return None
-    out = []
-    try:
-        for t in tokenize.generate_tokens(io.StringIO(text.removeprefix("\ufeff")).readline):
-            if t.type in (tokenize.COMMENT, tokenize.NL):
-                continue
-            if t.type == tokenize.NAME:
-                kind = t.string if t.string in _PY_WORDS else "NAME"
-            elif t.type == tokenize.OP:
-                kind = _PY_GROUPS.get(t.string, t.string)
-            else:
-                kind = _PY_TYPES.get(t.type)
-                if kind == "NUMBER" and _PY_ZERO.fullmatch(t.string):
-                    return None
-            k = kinds.get(kind)
-            if k is None:
-                return None
-            out.append(k)
-    except (tokenize.TokenError, SyntaxError, ValueError, UnicodeError):
-        return None
-    return out, None
-
+from quarrymint.llm.grammar.python import PYTHON, lex_python
 
 # --- JSON ------------------------------------------------------------------------------------------------------------
 
@@ -120,282 +34,55 @@ def lex_json(text: str, kinds: dict[str, int]):
     return [*out, kinds["EOF"]], None
 
 
-# --- TOML 1.0 --------------------------------------------------------------------------------------------------------
-
-TOML = """
-file = line (NL line)* EOF ;
-line = (pair | '[' key ']' | OPEN key CLOSE)? ;
-pair = key '=' value ;
-key = part ('.' part)* ;
-part = BARE | STRING ;
-value = STRING | MULTI | SCALAR | '[' NL* (value NL* (',' NL* value NL*)* (',' NL*)?)? ']' | '{' (pair (',' pair)*)? '}' ;
-"""
-_TOML_STRING = r'"(?:[^"\\\x00-\x08\x0a-\x1f\x7f]|\\(?:[btnfr"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*"' + r"|'[^'\x00-\x08\x0a-\x1f\x7f]*'"
-_TOML_MULTI = r'"""(?:[^\\"]|\\(?:[btnfr"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[ \t]*\r?\n\s*)|"{1,2}(?!"))*"{3,5}' + r"|'''(?:[^']|'{1,2}(?!'))*'{3,5}"
-_TOML_DATE = r"\d{4}-\d\d-\d\d(?:[Tt ]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)?)?|\d\d:\d\d:\d\d(?:\.\d+)?"
-_TOML_NUMBER = r"0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*|[+-]?(?:inf|nan)|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?"
-_TOML_SPACE = re.compile(r"[ \t]*(?:#[^\x00-\x08\x0a-\x1f\x7f]*(?=\r?\n|$))?")
-_TOML_KEY = re.compile(rf"(?P<NL>\r?\n)|(?P<STRING>{_TOML_STRING})|(?P<BARE>[A-Za-z0-9_-]+)|(?P<OP>[]\[.={{}},])")
-_TOML_VALUE = re.compile(rf"(?P<NL>\r?\n)|(?P<MULTI>{_TOML_MULTI})|(?P<STRING>{_TOML_STRING})|(?P<SCALAR>(?:true|false|{_TOML_DATE}|{_TOML_NUMBER})(?![A-Za-z0-9_.:+-]))|(?P<OP>[]\[{{}},])")
-
-
-def lex_toml(text: str, kinds: dict[str, int]):
-    out, at, nest, value, fresh = [], 0, [], False, True
-    n = len(text)
-    while True:
-        at = _TOML_SPACE.match(text, at).end()
-        if at >= n:
-            break
-        if fresh and not nest and text.startswith("[[", at):
-            out.append(kinds["OPEN"])
-            at, fresh, header = at + 2, False, True
-            continue
-        if not value and not nest and text.startswith("]]", at):
-            out.append(kinds["CLOSE"])
-            at += 2
-            continue
-        m = (_TOML_VALUE if value else _TOML_KEY).match(text, at)
-        if not m:
-            return None
-        at, kind = m.end(), m.lastgroup
-        if kind == "OP":
-            op = m.group()
-            out.append(kinds[op])
-            if op == "=":
-                value = True
-            elif value and op in "[{":
-                nest.append(op)
-                value = op == "["
-            elif op in "]}" and nest:
-                nest.pop()
-                value = True
-            elif op == "," and nest:
-                value = nest[-1] == "["
-        else:
-            out.append(kinds[kind])
-            if kind == "NL" and not nest:
-                value = False
-        fresh = kind == "NL"
-    return [*out, kinds["EOF"]], None
-
-
-# --- XML 1.0 ---------------------------------------------------------------------------------------------------------
-
-XML = """
-file = DECL? misc* (DOCTYPE misc*)? element misc* EOF ;
-misc = COMMENT | PI | SPACE ;
-element = OPEN attribute* ('/>' | '>' content* CLOSE) ;
-attribute = NAME '=' QUOTED ;
-content = element | TEXT | SPACE | REFERENCE | CDATA | COMMENT | PI ;
-"""
-_XN = r"[:A-Z_a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02FF\u0370-\u037D\u037F-\u1FFF\u200C\u200D\u2070-\u218F\u2C00-\u2FEF\u3001-\uD7FF\uF900-\uFDCF\uFDF0-\uFFFD][-.:0-9A-Z_a-z\u00B7\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u037D\u037F-\u1FFF\u200C\u200D\u203F\u2040\u2070-\u218F\u2C00-\u2FEF\u3001-\uD7FF\uF900-\uFDCF\uFDF0-\uFFFD]*"
-_XREF = rf"&(?:{_XN}|#[0-9]+|#x[0-9a-fA-F]+);"
-_XML_CONTENT = re.compile(
-    rf"(?P<DECL>\A<\?xml\s[^?]*(?:\?(?!>)[^?]*)*\?>)|(?P<COMMENT><!--(?:[^-]|-(?!-))*-->)|(?P<CDATA><!\[CDATA\[.*?\]\]>)|(?P<DOCTYPE><!DOCTYPE\s(?:[^\[\]<>\"']|\"[^\"]*\"|'[^']*'|\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\])*>)"
-    rf"|(?P<PI><\?(?![xX][mM][lL][\s?]){_XN}(?:\s.*?)?\?>)|(?P<CLOSE></{_XN}\s*>)|(?P<OPEN><{_XN})|(?P<REFERENCE>{_XREF})|(?P<SPACE>\s+(?=<|\Z))|(?P<TEXT>(?:(?!\]\]>)[^<&\x00-\x08\x0b\x0c\x0e-\x1f])+)",
-    re.DOTALL,
-)
-_XML_TAG = re.compile(rf"\s*(?:(?P<GT>/?>)|(?P<EQ>=)|(?P<QUOTED>\"(?:[^<&\"]|{_XREF})*\"|'(?:[^<&']|{_XREF})*')|(?P<NAME>{_XN}))")
-
-
-def lex_xml(text: str, kinds: dict[str, int]):
-    text = text.removeprefix("\ufeff")
-    out, at, tag = [], 0, False
-    while at < len(text):
-        m = (_XML_TAG if tag else _XML_CONTENT).match(text, at)
-        if not m or m.end() == at:
-            return None
-        kind = m.lastgroup
-        if tag and kind == "NAME" and not text[at].isspace():
-            return None
-        at = m.end()
-        if kind == "GT":
-            tag = False
-            kind = m.group("GT")
-        elif kind == "EQ":
-            kind = "="
-        elif kind == "OPEN":
-            tag = True
-        out.append(kinds[kind])
-    return (None if tag else ([*out, kinds["EOF"]], None))
-
-
-# --- ECMAScript ------------------------------------------------------------------------------------------------------
-
-JS = r"""
-script = statement* EOF ;
-module = (importdecl | exportdecl | statement)* EOF ;
-importdecl = 'import' (STRING | (name (',' (namespace | imports))? | namespace | imports) 'from' STRING) ('with' object)? semi ;
-namespace = '*' 'as' name ;
-imports = '{' (spec (',' spec)* ','?)? '}' ;
-spec = (key2 | STRING) ('as' (name | key2 | STRING))? ;
-exportdecl = 'export' ('*' ('as' (key2 | STRING))? 'from' STRING semi | imports ('from' STRING)? semi | declaration | variables semi | 'default' (function | class | asyncfunction | @plain assign semi)) ;
-semi = ';' | @asi ;
-name = NAME | 'as' | 'async' | 'await' | 'from' | 'get' | 'let' | 'of' | 'set' | 'static' | 'yield' ;
-key2 = name | KEYWORD | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'export' | 'extends' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' | 'null' ;
-declaration = function | asyncfunction | class ;
-statement = block | variables semi | declaration | ';' | 'if' '(' expression ')' statement ('else' statement)? | for | 'while' '(' expression ')' statement | 'do' statement 'while' '(' expression ')' ';'? | 'continue' (@same name)? semi | 'break' (@same name)? semi | 'return' (@same expression)? semi | 'with' '(' expression ')' statement | switch | 'throw' @same expression semi | try | 'debugger' semi | name ':' statement | @plain expression semi ;
-block = '{' statement* '}' ;
-variables = ('var' | 'let' | 'const') binding (',' binding)* ;
-binding = name ('=' assign)? | pattern '=' assign ;
-for = 'for' 'await'? '(' (forinit? ';' expression? ';' expression? | (('var' | 'let' | 'const') (name | pattern) | left) ('of' assign | 'in' expression)) ')' statement ;
-forinit = variables | expression ;
-switch = 'switch' '(' expression ')' '{' (('case' expression | 'default') ':' statement*)* '}' ;
-try = 'try' block ('catch' ('(' (name | pattern) ')')? block ('finally' block)? | 'finally' block) ;
-function = 'function' '*'? name? '(' params? ')' block ;
-asyncfunction = 'async' @same function ;
-params = param (',' param)* ','? ;
-param = '...' (name | pattern) | (name | pattern) ('=' assign)? ;
-pattern = '[' (','* elem (','+ elem)* ','*)? ']' | '[' ','+ ']' | '{' (prop (',' prop)* ','?)? '}' ;
-elem = '...' (name | pattern) | (name | pattern) ('=' assign)? ;
-prop = '...' name | name ('=' assign)? | propkey ':' (name | pattern) ('=' assign)? ;
-class = 'class' name? ('extends' left)? '{' member* '}' ;
-member = ';' | 'static'? (method | propkey2 ('=' assign)? semi) | 'static' block ;
-method = ('get' | 'set')? propkey2 '(' params? ')' block | 'async' @same '*'? propkey2 '(' params? ')' block | '*' propkey2 '(' params? ')' block ;
-propkey = key2 | STRING | NUMBER | '[' assign ']' ;
-propkey2 = propkey | PRIVATE ;
-expression = assign (',' assign)* ;
-assign = arrow | 'yield' (@same '*'? assign)? | left ASSIGN assign | left '=' assign | pattern '=' assign | conditional ;
-arrow = ('async' @same)? (name | '(' params? ')') @same '=>' (block | @notbrace assign) ;
-conditional = unary (binary unary)* ('?' assign ':' assign)? ;
-binary = BINARY | '*' | 'in' | 'instanceof' | '+' | '-' ;
-unary = ('delete' | 'void' | 'typeof' | '+' | '-' | '!' | '~' | 'await')* ('++' left | '--' left | left (@same ('++' | '--'))?) | PRIVATE ;
-left = head tail* ;
-head = 'new' left | primary | 'super' | 'import' ('(' assign (',' assign)? ','? ')' | '.' key2) | 'new' '.' key2 ;
-tail = '.' (key2 | PRIVATE) | OPTIONAL (key2 | PRIVATE | '[' expression ']' | '(' args? ')' | template) | '[' expression ']' | '(' args? ')' | template ;
-args = ('...'? assign) (',' '...'? assign)* ','? ;
-primary = name | 'this' | 'null' | LITERAL | NUMBER | STRING | REGEX | template | '(' expression ')' | array | object | function | asyncfunction | class ;
-template = TEMPLATE | THEAD expression (TMIDDLE expression)* TTAIL ;
-array = '[' (','* '...'? assign (','+ '...'? assign)* ','*)? ']' | '[' ','+ ']' ;
-object = '{' (entry (',' entry)* ','?)? '}' ;
-entry = '...' assign | name ('=' assign)? | propkey ':' assign | method ;
-"""
-_JS_WORDS = set("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null as async await from get let of set static yield".split())
-_JS_ASSIGN = set("+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
-_JS_BINARY = set("== != === !== < > <= >= << >> >>> / % ** & | ^ && || ??".split())
-_JS_SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\r\u2028\u2029]*|/\*.*?\*/)*", re.DOTALL)
-_JS_ESCAPE = r"\\(?:u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\})"
-_JS_TOKEN = re.compile(
-    rf"(?P<NAME>(?:[^\W\d]|\$|{_JS_ESCAPE})(?:[\w$\u200c\u200d]|{_JS_ESCAPE})*)"
-    r"|(?P<NUMBER>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|0[0-9]+|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)(?![\w$]))"
-    r"|(?P<STRING>\"(?:[^\"\\\n\r]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|\r\n|[^xu]))*\"|'(?:[^'\\\n\r]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|\r\n|[^xu]))*')"
-    rf"|(?P<PRIVATE>\#(?:[^\W\d]|\$)[\w$]*)"
-    r"|(?P<OP>\?\.(?!\d)|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|\+\+|--|&&|\|\||\?\?|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.])",
-    re.DOTALL,
-)
-_JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*(?![\w$])")
-_JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{)", re.DOTALL)
-_JS_VALUE_WORDS = set("this null super as async from get let of set static".split())
-
+# --- all of them -----------------------------------------------------------------------------------------------------
 
-def lex_js(text: str, kinds: dict[str, int]):
-    """Kinds, and for each token whether a line break stands before it. A slash is a division after a value, else it
-    opens a regular expression; a closing parenthesis or brace is a value by what stood before its opening one."""
-    out, breaks, at, n = [], [], 0, len(text)
-    if text.startswith("#!"):
-        at = min([i for i in (text.find("\n"),) if i >= 0] or [n])
-    value, stack = False, []  # stack: (bracket, is the closed whole a value)
-    last = ""
-    while True:
-        m = _JS_SPACE.match(text, at)
-        gap = text[at : m.end()]
-        newline = "\n" in gap or "\r" in gap or "\u2028" in gap or "\u2029" in gap
-        at = m.end()
-        if at >= n:
-            out.append(kinds["EOF"])
-            breaks.append(True)
-            return None if stack else (out, breaks)
-        ch = text[at]
-        if ch == "`" or (ch == "}" and stack and stack[-1][0] == "`"):
-            m = _JS_TEMPLATE.match(text, at + 1)
-            if not m:
-                return None
-            opened, closed = m.group(1) == "${", ch == "`"
-            if not closed:
-                stack.pop()
-            kind = ("THEAD" if opened else "TEMPLATE") if closed else ("TMIDDLE" if opened else "TTAIL")
-            if opened:
-                stack.append(("`", True))
-            at, value, last = m.end(), not opened, kind
-            out.append(kinds[kind])
-            breaks.append(newline)
-            continue
-        if ch == "/" and not value:
-            m = _JS_REGEX.match(text, at)
-            if not m:
-                return None
-            at, value, last = m.end(), True, "REGEX"
-            out.append(kinds["REGEX"])
-            breaks.append(newline)
-            continue
-        m = _JS_TOKEN.match(text, at)
-        if not m:
-            return None
-        at, kind, word = m.end(), m.lastgroup, m.group()
-        if kind == "NAME":
-            if last in (".", "?."):
-                value = True
-            else:
-                value = word not in _JS_WORDS or word in _JS_VALUE_WORDS
-            if word in ("true", "false"):
-                kind = "LITERAL"
-            elif word in ("enum",):
-                kind = "KEYWORD"
-            elif word in _JS_WORDS:
-                kind = word
-        elif kind == "OP":
-            kind = "ASSIGN" if word in _JS_ASSIGN else "BINARY" if word in _JS_BINARY else "OPTIONAL" if word == "?." else word
-            if word in "([":
-                stack.append((word, not (word == "(" and last in ("if", "while", "for", "with"))))
-                value = False
-            elif word == "{":
-                stack.append((word, last in ("(", "[", ",", "=", ":", "?", "ASSIGN", "BINARY", "return", "=>", "...", "+", "-") and last != "=>"))
-                value = False
-            elif word in ")]}":
-                if not stack or stack[-1][0] != {")": "(", "]": "[", "}": "{"}[word]:
-                    return None
-                value = stack.pop()[1]
-            else:
-                value = word in ("++", "--") and value
-        else:
-            value = True
-        if kind not in kinds:
-            return None
-        last = kind
-        out.append(kinds[kind])
-        breaks.append(newline)
 
+@dataclass
+class Language:
+    """``rules`` see what the lexer gives beside the kinds; each must hold."""
 
-def _js_predicates(kinds):
-    brace, end = kinds["}"], kinds["EOF"]
-    opening = {kinds[w] for w in ("{", "function", "class")}
-    is_async, is_function, is_let, bracket = kinds["async"], kinds["function"], kinds["let"], kinds["["]
-
-    def plain(t, p, b):
-        return not (t[p] in opening or (t[p] == is_async and t[p + 1] == is_function and not b[p + 1]) or (t[p] == is_let and t[p + 1] == bracket))
-
-    return {"asi": lambda t, p, b: p < len(t) and (b[p] or t[p] == brace or t[p] == end), "same": lambda t, p, b: not b[p], "plain": plain, "notbrace": lambda t, p, b: t[p] != kinds["{"]}
+    lexer: Callable
+    grammar: Grammar
+    starts: tuple[str, ...] = ("file",)
+    rules: tuple[Callable, ...] = ()
 
 
 @lru_cache(maxsize=1)
-def languages() -> dict:
-    """Extension: (lexer, grammar, start rules of the dialects that run together)."""
+def languages() -> dict[str, Language]:
+    """The languages by extension."""
     late: dict = {}
-    names = ("asi", "same", "plain", "notbrace")
-    js = Grammar(JS, ("module", "script"), {p: (lambda t, i, b, p=p: late[p](t, i, b)) for p in names})
-    late.update(_js_predicates(js.kinds))
+    names = ("asi", "same", "plain", "notbrace", "arrow", "pattern")
+    js = Grammar(ecmascript.JS, ("module", "script"), {p: (lambda t, i, x, p=p: late[p](t, i, x)) for p in names})
+    late.update(ecmascript.predicates(js.kinds))
     js.predicates = [(p, late[p]) for p, _ in js.predicates]
     return {
-        "py": (lex_python, Grammar(PYTHON, ("file",)), ("file",)),
-        "json": (lex_json, Grammar(JSON, ("file",)), ("file",)),
-        "toml": (lex_toml, Grammar(TOML, ("file",)), ("file",)),
-        "xml": (lex_xml, Grammar(XML, ("file",)), ("file",)),
-        "js": (lex_js, js, ("module", "script")),
+        "py": Language(lex_python, Grammar(PYTHON, ("file",))),
+        "json": Language(lex_json, Grammar(JSON, ("file",))),
+        "toml": Language(markup.lex_toml, Grammar(markup.TOML, ("file",)), rules=(markup.toml_days_exist, markup.toml_keys_are_new)),
+        "xml": Language(markup.lex_xml, Grammar(markup.XML, ("file",)), rules=(markup.xml_tags_match, markup.xml_attributes_are_new, markup.xml_models_are_right, markup.xml_references_are_known)),
+        "js": Language(ecmascript.lex_js, js, ("module", "script")),
     }
 
 
+EXTENSIONS = ("js", "json", "py", "toml", "xml")
+
+
 def parses(language: str, text: str) -> bool:
-    """Whether any dialect's grammar takes the whole text."""
-    lexer, grammar, starts = languages()[language]
-    got = lexer(text, grammar.kinds)
-    return got is not None and grammar.recognise(got[0], starts, got[1])
+    """Whether the whole text is a file of the language: a text of one of its dialects, which run together, that breaks no
+    rule of the language."""
+    it = languages()[language]
+    if language == "js":
+        return _parses_js(it, text, False) or (ecmascript._HTML.search(text) is not None and _parses_js(it, text, True))
+    got = it.lexer(text, it.grammar.kinds)
+    return got is not None and it.grammar.recognise(got[0], it.starts, got[1]) and all(rule(got[1]) for rule in it.rules)
+
+
+def _parses_js(it: Language, text: str, html: bool) -> bool:
+    got = it.lexer(text, it.grammar.kinds, html)
+    if got is None:
+        return False
+    forest: dict = {}
+    if not it.grammar.recognise(got[0], it.starts, got[1], forest):
+        return False
+    early = EarlyErrors(it.grammar, got[0], got[1], forest)
+    return any(early.valid(start) for start in forest[None])

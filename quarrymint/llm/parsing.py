@@ -2,74 +2,50 @@
 
 from __future__ import annotations
 
-import ast
-import tomllib
-import warnings
 from collections.abc import Iterator, Sequence
-from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymint.llm.grammar.languages import languages, parses
-from quarrymint.llm.tokens import small_batches, spread
-from quarrymint.operators.nested import strict_json
-
-
-def exact(language: str, text: str) -> bool | None:
-    """The verdict of the language's own parser, for what no context-free grammar says (matching tag names, keys given
-    twice, what may be assigned to); None where there is no such parser or it runs out of stack."""
-    try:
-        if language == "py":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.removeprefix("﻿"))
-        elif language == "json":
-            strict_json(text)
-        elif language == "toml":
-            tomllib.loads(text)
-        elif language == "xml":
-            expat.ParserCreate("utf-8").Parse(text.encode(), True)
-        else:
-            return None
-    except (RecursionError, MemoryError):
-        return None
-    except (SyntaxError, ValueError, expat.ExpatError):
-        return False
-    return True
+from quarrymint.llm.grammar.languages import EXTENSIONS, parses
+from quarrymint.llm.tokens import small_batches
+from quarrymint.session import cut, skew_join
 
 
 def check_sources(df: DataFrame, key: str, path: str, sides: Sequence[tuple[str, str]], carry: Sequence[str] = ()) -> DataFrame:
-    """``key``, side, language, the ``carry`` columns, ``in_grammar`` and ``valid`` for each source of a known language.
+    """``key``, side, language, the ``carry`` columns and ``valid`` for each source of a known language.
 
     ``sides`` names the source columns: (label, column). The extension of ``path``, in any letter case, gives the
     language; files of other languages, without a path, and sources that are null or blank give no rows. Rows that come
-    again give their verdict again. Each text is parsed whole: tokens, then the generalised LL recogniser, all dialects
-    of the language together; ``in_grammar`` says whether any took it. An exact check follows where the language has
-    one; elsewhere ``valid`` is the grammar's verdict. Nothing is shuffled but the rows of too few input partitions.
+    again give their verdict again.
+
+    Method: copies of a text are one text (by 128 bits of its hash), so each is parsed once and whole: tokens, then the
+    generalised LL recogniser, all dialects of the language together, then the rules of the language that no context-free
+    grammar says. The verdict comes from these alone. Only the hashes of the texts found invalid go back to the rows; a
+    text with very many copies is combined in the map tasks, and its rows are spread when its verdict comes back.
     """
-    known = sorted(languages())
     suffix = F.lower(F.regexp_extract(F.col(f"`{path}`"), r"\.([^./\\]+)$", 1))
     texts = F.array(*[F.struct(F.lit(label).alias("side"), F.col(f"`{c}`").alias("text")) for label, c in sides])
-    picked = df.select(F.col(f"`{key}`").alias("k"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)], suffix.alias("language"), texts.alias("t")).where(F.col("language").isin(known))
+    picked = df.select(F.col(f"`{key}`").alias("k"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)], suffix.alias("language"), texts.alias("t")).where(F.col("language").isin(*EXTENSIONS))
     extra = [f"x{i}" for i in range(len(carry))]
-    picked = spread(small_batches(picked), df.sparkSession.sparkContext.defaultParallelism)
-    rows = picked.select("k", *extra, "language", F.explode("t").alias("t")).select("k", *extra, "language", "t.side", "t.text").where(F.col("text").isNotNull())
+    rows = picked.select("k", *extra, "language", F.explode("t").alias("t")).select("k", *extra, "language", "t.side", "t.text").where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    rows = rows.withColumn("h1", F.xxhash64("language", "text")).withColumn("h2", F.xxhash64("text", F.lit(5)))
+    marked = cut(rows.drop("text"), "parsing-rows")
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part = part[part["text"].map(lambda t: bool(t.strip()))]
-            grammar = [parses(language, t) for language, t in zip(part["language"], part["text"], strict=True)]
-            other = [exact(language, t) for language, t in zip(part["language"], part["text"], strict=True)]
-            out = part.drop(columns="text").assign(in_grammar=pd.Series(grammar, index=part.index, dtype=bool))
-            yield out.assign(valid=pd.Series([g if e is None else e for g, e in zip(grammar, other, strict=True)], index=part.index, dtype=bool))
-
-    kinds = [f"k {df.schema[key].dataType.simpleString()}", *[f"x{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]]
-    out = rows.mapInPandas(judge, ", ".join([*kinds, "language string, side string, in_grammar boolean, valid boolean"]))
-    taken = {"side", "language", "in_grammar", "valid"}
+            wrong = [not parses(language, t) for language, t in zip(part["language"], part["text"], strict=True)]
+            yield part.loc[wrong, ["h1", "h2"]]
+
+    once = rows.groupBy("h1", "h2").agg(F.first("language").alias("language"), F.first("text").alias("text"))
+    wrong = small_batches(once).mapInPandas(judge, "h1 long, h2 long")
+    wrong = cut(wrong, "parsing-invalid").withColumn("wrong", F.lit(True))
+    out = skew_join(marked, wrong, ["h1", "h2"], F.concat_ws("-", F.col("k").cast("string"), "side"), "left")
+    taken = {"side", "language", "valid"}
     free = lambda c: c if c not in taken else f"{c}_"
-    return out.select(F.col("k").alias(free(key)), "side", "language", *[F.col(f"x{i}").alias(free(c)) for i, c in enumerate(carry)], "in_grammar", "valid")
+    valid = F.col("wrong").isNull().alias("valid")
+    return out.select(F.col("k").alias(free(key)), "side", "language", *[F.col(f"x{i}").alias(free(c)) for i, c in enumerate(carry)], valid)
 
 
 def rates(checked: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
