@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side may be broadcast only while its row count times its row width stays under this many bytes.
@@ -47,16 +47,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there and any executor can reread it."""
+def cut(df: DataFrame, label: str, partition_by: list[str] | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there and any executor can reread it.
+    ``counts`` are aggregates that the same pass takes; the result's ``counted`` has them."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    seen = Observation() if counts else None
+    if seen:
+        df = df.observe(seen, *[c.alias(n) for n, c in counts.items()])
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarrymint_path = path
+    out.counted = seen.get if seen else {}
     return out
 
 
@@ -84,8 +89,8 @@ def _clean() -> None:
 
 
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """``broadcast(df)`` if its known row count keeps it under :data:`BROADCAST_BYTES`, else ``df`` unchanged (a shuffled join)."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    """``broadcast(df)`` if its known row count keeps it under :data:`BROADCAST_BYTES`, else ``df`` for a join by shuffle."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def hot_values(df: DataFrame, key: Column) -> list:
