@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymint.session import cut, drop
+from quarrymint.session import BROADCAST_BYTES, checked_broadcast, cut, drop, skew_join
 
-#: Members of one link value that make it hot, and the parts into which its members are then dealt.
-HOT, SALTS = 50_000, 64
+#: Bytes that a label and its component may take in a broadcast table.
+LABEL_BYTES = 64
 #: A group with at least total / LARGE rows is placed by itself; there are at most LARGE of them.
 LARGE = 1000
-#: Hash buckets by which the roots of a size band are laid end to end.
-BUCKETS = 256
+#: Hash buckets by which the roots of a size band are laid end to end; at least one for so many rows.
+BUCKETS, BUCKET_ROWS = 256, 1_000_000
 
 
 def star_edges(links: DataFrame) -> DataFrame:
     """Edges (a, b; a < b) that connect the members of every link value, from ``links`` (key, node): each member to the
-    least one, so as many edges as members. The members of a hot value are dealt to salted parts for the join."""
-    hubs = links.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"))
-    salts = F.when(F.col("n") > HOT, SALTS).otherwise(1)
-    hubs = hubs.where(F.col("n") > 1).select("key", "a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), (salts > 1).alias("hot"))
-    hot = F.broadcast(hubs.where("hot").select("key").distinct().withColumn("is_hot", F.lit(True)))  # at most rows / HOT values
-    salted = links.join(hot, "key", "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0))
-    return salted.join(hubs, ["key", "salt"]).where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    least one, so as many edges as members. The members of a hot value are spread over several tasks."""
+    hubs = links.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "a")
+    return skew_join(links, hubs, ["key"], F.col("node")).where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
+
+
+def _renamed(many: DataFrame, step: DataFrame, on: str, to: str, spread: Column) -> DataFrame:
+    """``many`` with the label that ``step`` (c, p) gives to its column ``on`` as ``to``; null where it has none. A step of
+    few components is broadcast by its counted size, else hot labels are spread."""
+    named = step.select(F.col("c").alias(on), F.col("p").alias(to))
+    if step.counted["rows"] * LABEL_BYTES <= BROADCAST_BYTES:
+        return many.join(F.broadcast(named), on, "left")
+    return skew_join(many, named, [on], spread, "left")
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,60 +39,51 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Borůvka rounds: every component takes its least edge to another one, with edges ordered by (a, b), so that what is
     taken has no cycle but pairs that took the same edge. Such a pair is rooted at its smaller label, the taken edges are
     contracted by pointer doubling, and the edges are relabelled; those inside a component are gone. Components at least
-    halve with each round. Labels, edges and forest are written tables in the shared folder, so a lost executor costs a
-    reread. Hot labels: the least edge is a partial aggregate, and relabelling is a join on the many side.
+    halve with each round. Labels, edges and the forest, a part a round, are written tables in the shared folder, so a lost
+    executor costs a reread; what the loop asks about them is counted while they are written. Hot labels: the least edge is
+    a partial aggregate, and relabelling spreads them.
     """
-    live = cut(edges.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), "forest-edges")
-    forest: DataFrame | None = None
+    rows = {"rows": F.count(F.lit(1))}
+    live = cut(edges.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), "forest-edges", counts=rows)
+    forest: list[DataFrame] = []
     label: DataFrame | None = None  # node, root
-    while live.limit(1).count():
-        both = live.select(F.col("u").alias("c"), F.struct("a", "b", F.col("v").alias("to")).alias("e")).unionByName(
-            live.select(F.col("v").alias("c"), F.struct("a", "b", F.col("u").alias("to")).alias("e"))
-        )
-        least = cut(both.groupBy("c").agg(F.min("e").alias("e")).select("c", F.col("e.to").alias("p"), F.col("e.a").alias("a"), F.col("e.b").alias("b")), "forest-least")
-        chosen = least.select("a", "b").distinct()
-        forest_next = cut(chosen if forest is None else forest.unionByName(chosen), "forest-tree")
-        if forest is not None:
-            drop(forest)
-        forest = forest_next
+    while live.counted["rows"]:
+        ends = F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("to")), F.struct(F.col("v").alias("c"), F.col("u").alias("to")))).alias("x")
+        both = live.select("a", "b", ends).select(F.col("x.c").alias("c"), F.struct("a", "b", F.col("x.to").alias("to")).alias("e"))
+        least = cut(both.groupBy("c").agg(F.min("e").alias("e")).select("c", F.col("e.to").alias("p"), F.col("e.a").alias("a"), F.col("e.b").alias("b")), "forest-least", counts=rows)
+        few = lambda df: checked_broadcast(df, least.counted["rows"], LABEL_BYTES)  # noqa: B023, E731
+        forest.append(cut(least.select("a", "b").distinct(), "forest-tree"))
         back = least.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        parent = least.select("c", "p").join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
-        parent = cut(parent, "forest-parent")
-        while True:
+        parent = least.select("c", "p").join(few(back), "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
+        parent = cut(parent, "forest-parent", counts=rows)
+        drop(least)
+        moved = True
+        while moved:
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("g"))
-            doubled = cut(parent.join(up, "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")), "forest-parent")
-            moved = doubled.where("moved").limit(1).count()
+            doubled = parent.join(few(up), "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
+            newer = cut(doubled, "forest-parent", counts={**rows, "moved": F.count_if(F.col("moved"))})
             drop(parent)
-            parent = doubled.select("c", "p")
-            parent._quarrymint_path = doubled._quarrymint_path
-            if not moved:
-                break
-        step = parent
+            parent, moved = newer, newer.counted["moved"] > 0
         if label is None:
-            label = cut(step.select(F.col("c").alias("node"), F.col("p").alias("root")), "forest-labels")
+            label = parent.select(F.col("c").alias("node"), F.col("p").alias("root"))
         else:
-            named = label.join(step, label["root"] == step["c"], "left").select("node", F.coalesce("p", "root").alias("root"))
-            newer = cut(named, "forest-labels")
-            drop(label)
-            label = newer
-        moved_edges = live.join(step.select(F.col("c").alias("u"), F.col("p").alias("u2")), "u").join(step.select(F.col("c").alias("v"), F.col("p").alias("v2")), "v")
+            label = cut(_renamed(label, parent, "root", "p", F.col("node")).select("node", F.coalesce("p", "root").alias("root")), "forest-labels")
+        moved_edges = _renamed(_renamed(live, parent, "u", "u2", F.col("b")), parent, "v", "v2", F.col("b"))
         # of the edges between two components only the least can ever be taken
-        newer = cut(
+        newer = (
             moved_edges.where(F.col("u2") != F.col("v2"))
             .groupBy(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v"))
             .agg(F.min(F.struct("a", "b")).alias("e"))
-            .select(F.col("e.a").alias("a"), F.col("e.b").alias("b"), "u", "v"),
-            "forest-edges",
+            .select(F.col("e.a").alias("a"), F.col("e.b").alias("b"), "u", "v")
         )
+        newer = cut(newer, "forest-edges", counts=rows)
         drop(live)
-        drop(least)
-        drop(step)
         live = newer
     if label is None:
         none = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).where(F.lit(False))
         return none, edges.where(F.lit(False))
     least_node = label.groupBy("root").agg(F.min("node").alias("least"))
-    return label.join(least_node, "root").select("node", F.col("least").alias("root")), forest
+    return skew_join(label, least_node, ["root"], F.col("node")).select("node", F.col("least").alias("root")), reduce(DataFrame.unionByName, forest)
 
 
 def linked_groups(df: DataFrame, key: str, links: list[Column]) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +99,7 @@ def linked_groups(df: DataFrame, key: str, links: list[Column]) -> tuple[DataFra
     pairs = cut(pairs.select(F.xxhash64("value").alias("h1"), F.xxhash64(F.concat(F.lit("#"), "value")).alias("h2"), "node").select(F.struct("h1", "h2").alias("key"), "node").distinct(), "links")
     groups, forest = spanning_forest(star_edges(pairs))
     nodes = base.select(F.col(f"`{key}`").alias("node")).distinct()
-    return nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")), forest
+    return nodes.join(groups.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), forest
 
 
 def deal_splits(groups: DataFrame, shares: DataFrame) -> DataFrame:
@@ -114,6 +112,7 @@ def deal_splits(groups: DataFrame, shares: DataFrame) -> DataFrame:
     Shares that are null or not positive get nothing; without any positive share the split is null.
     """
     spark = groups.sparkSession
+    groups = cut(groups, "split-groups")
     sizes = cut(groups.groupBy("root").agg(F.count("*").alias("size")), "split-sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     wanted = [(r["split"], float(r["target_share"])) for r in shares.collect() if r["target_share"] and r["target_share"] > 0]
@@ -136,7 +135,7 @@ def deal_splits(groups: DataFrame, shares: DataFrame) -> DataFrame:
         sizes.where(F.col("size") * LARGE < total)
         .withColumn("band", F.floor(F.log2("size")).cast("int"))
         .withColumn("h", F.xxhash64("root", F.lit(4)))
-        .withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+        .withColumn("b", F.pmod("h", F.lit(max(BUCKETS, total // BUCKET_ROWS))))
     )
     per = small.groupBy("band", "b").agg(F.sum("size").alias("n"))
     line = Window.partitionBy("band").orderBy("b")
@@ -150,4 +149,4 @@ def deal_splits(groups: DataFrame, shares: DataFrame) -> DataFrame:
     dealt = at.select("root", split.alias("split"))
     kind = groups.schema["root"].dataType.simpleString()
     dealt = dealt.unionByName(spark.createDataFrame(placed, f"root {kind}, split string"))
-    return groups.join(dealt, "root").select("node", "root", "split")
+    return skew_join(groups, dealt, ["root"], F.col("node")).select("node", "root", "split")

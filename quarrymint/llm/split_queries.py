@@ -24,6 +24,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.where(F.col("root") < F.col("node")).select(F.col("root").alias("root_task_id"), F.col("node").alias("task_id"))
 
 
+def p4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the spanning forest: one less than tasks in every group."""
+    _, forest = _groups(spark, sf_dir)
+    return forest.select(F.col("a").alias("task_id_a"), F.col("b").alias("task_id_b"))
+
+
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups, _ = _groups(spark, sf_dir)
     out = deal_splits(groups, read(spark, sf_dir, "split_targets"))
@@ -43,7 +49,7 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares}
+QUERIES = {"p4_found": p4_found, "p4_forest": p4_forest, "p4_splits": p4_splits, "p4_shares": p4_shares}
 
 ORACLE = {
     "p4_found": r"""

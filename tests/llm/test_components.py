@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import quarrymint.llm.components as components
+import quarrymint.session as session
 from quarrymint.llm.components import deal_splits, linked_groups
 
 
@@ -51,9 +52,12 @@ def test_a_long_chain(spark):
     assert set(run(spark, rows)[0].values()) == {0}
 
 
-def test_hot_value_is_salted(spark, monkeypatch):
-    monkeypatch.setattr(components, "HOT", 5)
-    rows = [(i, "same", None) for i in range(40)] + [(100, None, "x"), (101, None, "x")]
+@pytest.mark.parametrize("small", [True, False])
+def test_hot_values_and_labels_are_spread(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(components, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    rows = [(i, f"n{i // 2}", f"f{(i + 1) // 2}" if i % 3 else None) for i in range(200, 260)] + [(i, "same", None) for i in range(40)] + [(100, None, "x"), (101, None, "x")]
     assert run(spark, rows)[0] == brute(rows)
 
 
