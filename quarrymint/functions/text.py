@@ -29,11 +29,28 @@ def char_ngrams(c: Column, n: int) -> Column:
     return F.transform(steps, lambda i: F.substr(padded, i, F.lit(n)))
 
 
-def lexical_variants(words: Column, stop: list[str]) -> Column:
-    """Words without stop words, each with its form without a plural s or an -ing."""
-    kept = F.filter(words, lambda w: ~w.isin(stop))
-    forms = F.transform(kept, lambda w: F.array(w, F.when(w.rlike("[^s]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).when(w.rlike("ing$") & (F.length(w) > 5), F.regexp_replace(w, "ing$", ""))))
-    return F.array_distinct(F.array_compact(F.flatten(forms)))
+#: Words that carry no meaning of their own (fixed values).
+STOP = ("a", "an", "and", "or", "the", "to")
+
+
+def lexical_tokens(c: Column) -> Column:
+    """The distinct words of a text without stop words, each with its variants, in order: y for ies, without a final s,
+    without ing, and both forms of what begins with validat. Null and empty texts have none."""
+    words = F.regexp_extract_all(F.replace(F.lower(c), F.lit("_"), F.lit(" ")), F.lit("[a-z0-9]+"), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.isin(*STOP))
+
+    def forms(w: Column) -> Column:
+        n, validates = F.length(w), w.startswith("validat")
+        return F.array(
+            w,
+            F.when((n > 3) & w.endswith("ies"), F.concat(F.substr(w, F.lit(1), n - 3), F.lit("y"))),
+            F.when((n > 3) & w.endswith("s"), F.substr(w, F.lit(1), n - 1)),
+            F.when((n > 5) & w.endswith("ing"), F.substr(w, F.lit(1), n - 3)),
+            F.when(validates, "validate"),
+            F.when(validates, "validation"),
+        )
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(kept, forms)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from quarrymint.operators.ranking import movement, pass_change
 from quarrymint.operators.rollup import ratio
 from quarrymint.plans.base import ORDER, PLAN, TR, C, T, outcomes, register, tasks, transitions
 from quarrymint.plans.rollup_queries import _PLANS, plans
-from quarrymint.session import read
+from quarrymint.session import cut, read
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -181,10 +181,13 @@ def j19(spark, sf):
     return bounded_walk(e, c.where("rank_index = 1").select(node("rank_index").alias("node")), 3)
 
 
-@query("j20_membership", f"WITH {C}, {T} SELECT (SELECT count(DISTINCT task) FROM c WHERE task IN (SELECT name FROM t)) AS known, (SELECT count(DISTINCT task) FROM c WHERE task NOT IN (SELECT name FROM t)) AS unknown")
+@query("j20_membership", f"WITH {C}, {T}, k AS (SELECT DISTINCT task, task IN (SELECT name FROM t) AS known FROM c), m AS (SELECT task, row_number() OVER (ORDER BY task) AS i FROM k WHERE NOT known) SELECT (SELECT count(*) FROM k WHERE known) AS known, (SELECT count(*) FROM k WHERE NOT known) AS unknown, (SELECT coalesce(string_agg(task, ',' ORDER BY task), '') FROM m WHERE i <= 5) AS first_unknown")
 def j20(spark, sf):
+    """Tasks of candidates that the manifest knows, those it does not, and the first five of these by name."""
     c, t = outcomes(spark, sf).select("task").distinct(), tasks(spark, sf).select(F.col("name").alias("task")).distinct().withColumn("k", F.lit(True))
-    return c.join(t, "task", "left").agg(F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("unknown"))
+    j = cut(c.join(t, "task", "left"), "membership")
+    first = j.where(F.col("k").isNull()).orderBy("task").limit(5).agg(F.array_join(F.array_sort(F.collect_list("task")), ",").alias("first_unknown"))
+    return j.agg(F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("unknown")).join(F.broadcast(first), F.lit(True))
 
 
 # --- set operations

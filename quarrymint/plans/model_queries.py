@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from quarrymint.functions.hashing import stable_fraction
-from quarrymint.functions.python_udfs import ast_features, blake2b_bucket, gestalt_ratio
+from quarrymint.functions.python_udfs import gestalt_ratio
 from quarrymint.functions.vec import add, normalize, subtract
 from quarrymint.operators.learners import fit_pairwise
 from quarrymint.operators.retrieval import encode_text, knn
@@ -35,13 +35,6 @@ def proj08(spark, sf):
     return transitions(spark, sf).select("id", F.concat_ws(",", *parts).alias("summary"))
 
 
-@query("proj11_context_numbers", f"WITH {C}, x AS (SELECT candidate_id, unnest(list_transform(regexp_extract_all(target_context, ':\\s*(-?\\d+)|[\\[,]\\s*(-?\\d+)'), lambda s: regexp_extract(s, '-?\\d+')::BIGINT)) AS n FROM c) SELECT candidate_id, count(*) AS numbers, sum(n)::BIGINT AS total FROM x GROUP BY 1")
-def proj11(spark, sf):
-    found = F.regexp_extract_all("target_context", F.lit(r"(?::|[\[,])\s*(-?\d+)"), F.lit(1))
-    x = outcomes(spark, sf, "target_context").select("candidate_id", F.explode(found).alias("n"))
-    return x.groupBy("candidate_id").agg(F.count("*").alias("numbers"), F.sum(F.col("n").cast("long")).alias("total"))
-
-
 @query("proj16_outcome_labels", f"WITH {C} SELECT task, ph, plan, coalesce(bool_and(passed IS NOT NULL), false) AS known, CASE WHEN bool_or(passed) THEN 'passed' WHEN bool_and(passed IS NOT NULL) THEN 'failed' ELSE 'unknown' END AS label, min(rank_index) FILTER (WHERE passed) AS first_passing FROM c GROUP BY 1, 2, 3")
 def proj16(spark, sf):
     known = F.bool_and(F.col("passed").isNotNull())
@@ -90,12 +83,6 @@ def v06(spark, sf):
     return tasks(spark, sf).select(F.explode(F.array_compact(F.array(*[F.when(blank(c), F.lit(i)) for i, c in rules.items()]))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("v07_forbidden_keys", "WITH l AS (SELECT DISTINCT line_id, line FROM outcome_log) SELECT count(*) FILTER (WHERE regexp_matches(line, '\"(worker|target_context)\"\\s*:')) AS with_key, count(*) AS lines FROM l")
-def v07(spark, sf):
-    lines = read(spark, sf, "outcome_log").select("line_id", "line").dropDuplicates(["line_id"])
-    return lines.agg(F.count_if(F.col("line").rlike(r'"(worker|target_context)"\s*:')).alias("with_key"), F.count("*").alias("lines"))
-
-
 @query("x06_weighted_features", f"WITH {TR}, w AS (SELECT id, 6.0 AS w FROM tr WHERE structured_action.kind IS NOT NULL UNION ALL SELECT id, 4.0 FROM tr WHERE outcome.kind IS NOT NULL UNION ALL SELECT id, 2.0 FROM tr WHERE validation.status IS NOT NULL) SELECT id, sum(w)::DOUBLE AS weight, count(*) AS features FROM w GROUP BY id")
 def x06(spark, sf):
     fields = {"structured_action.kind": 6.0, "outcome.kind": 4.0, "validation.status": 2.0}
@@ -103,11 +90,6 @@ def x06(spark, sf):
     return transitions(spark, sf).select("id", F.explode(parts).alias("w")).groupBy("id").agg(F.sum("w").alias("weight"), F.count("*").alias("features"))
 
 
-@query("x07_blake2b_buckets")
-def x07(spark, sf):
-    return tasks(spark, sf).groupBy(blake2b_bucket(F.col("name"), 16).alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @query("x11_safe_ratios", f"WITH {C} SELECT action, round(count(*) FILTER (WHERE passed) / nullif(count(*) FILTER (WHERE preferred), 0), 6) AS or_null, coalesce(round(count(*) FILTER (WHERE passed) / nullif(count(*) FILTER (WHERE preferred), 0), 6), 0) AS or_zero FROM c GROUP BY action")
 def x11(spark, sf):
     r = ratio(F.count_if("passed"), F.count_if("preferred"))
@@ -128,15 +110,6 @@ def x21(spark, sf):
     return raw.select(F.explode(F.array_compact(F.concat(own, keys))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
 
 
-@query("x22_ast_feature_delta")
-def x22(spark, sf):
-    """Kinds of syntax nodes that changes to Python files add and remove."""
-    m = read(spark, sf, "mined_git_transitions").where(F.lower("file_path").endswith(".py")).select("transition_id", "before_source", "after_source").dropDuplicates(["transition_id"])
-    after, before = ast_features(m, "transition_id", "after_source"), ast_features(m, "transition_id", "before_source").withColumn("n", -F.col("n"))
-    d = after.unionByName(before).groupBy("transition_id", "feature").agg(F.sum("n").alias("d"))
-    return d.groupBy("feature").agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("d"))), F.lit(0)).alias("added"), F.coalesce(-F.sum(F.when(F.col("d") < 0, F.col("d"))), F.lit(0)).alias("removed"))
-
-
 @query("x30_guard_flags", f"WITH {C}, {O}, b AS (SELECT task, ph, plan, bool_or(action = 'insert_guard') AS has_guard FROM c GROUP BY 1, 2, 3) SELECT count(*) FILTER (WHERE o.action = 'insert_guard') AS guards, count(*) FILTER (WHERE o.action <> 'insert_guard' AND has_guard) AS beside_a_guard FROM o JOIN b ON b.task = o.task AND b.ph = o.ph AND b.plan IS NOT DISTINCT FROM o.plan")
 def x30(spark, sf):
     g = outcomes(spark, sf, "action").groupBy(*PLAN).agg(F.count("*").alias("n"), F.count_if(F.col("action") == "insert_guard").alias("k"))
@@ -213,13 +186,6 @@ def r09(spark, sf):
     return a.join(b, "query").agg(F.count("*").alias("both_modes"), F.count_if(F.col("a") == F.col("b")).alias("same_nearest"))
 
 
-@query("m03_nearest_example_action", f"WITH {TR}, v AS (SELECT id, structured_action.kind AS action, repo_before.state.repo_embedding AS v FROM tr WHERE len(repo_before.state.repo_embedding) > 0) SELECT len(v)::INT AS dim, action, count(*) AS examples FROM v GROUP BY 1, 2")
-def m03(spark, sf):
-    """Examples that a nearest-example prediction can draw on, by vector length and action."""
-    v = F.col("repo_before.state.repo_embedding")
-    return transitions(spark, sf).where(F.size(v) > 0).groupBy(F.size(v).alias("dim"), F.col("structured_action.kind").alias("action")).agg(F.count("*").alias("examples"))
-
-
 def every_20th(ex):
     return ex.where(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 20 == 0)
 

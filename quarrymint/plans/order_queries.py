@@ -6,8 +6,9 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from quarrymint.functions.hashing import short_id, stable_fraction
+from quarrymint.functions.hashing import short_id
 from quarrymint.functions.text import normalized, tokens
+from quarrymint.operators.splits import group_split
 from quarrymint.operators.learners import fit_pairwise, fit_perceptron, linear_score, predict
 from quarrymint.operators.ranking import evenly_spaced, evenly_spaced_by, first_label, first_where, round_robin, top_k
 from quarrymint.operators.retrieval import encode_text, knn, prototype_score
@@ -212,10 +213,10 @@ _sp = lambda: F.when(F.lower(F.trim("split")).isin("validation", "val", "dev"),
 _NORM = "trim(regexp_replace(lower(prompt), '\\s+', ' ', 'g'))"
 
 
-@query("d02_group_split", f"WITH {C}, g AS (SELECT DISTINCT task_family AS k FROM c WHERE task_family IS NOT NULL), f AS (SELECT k, ('0x' || substr(sha256('v2:' || k), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615.0 AS f FROM g) SELECT k AS key, f < 0.25 AS validation FROM f")
+@query("d02_group_split", f"WITH {C}, g AS (SELECT DISTINCT task_family AS k FROM c WHERE task_family IS NOT NULL), f AS (SELECT k, ('0x' || substr(sha256('v2:' || k), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615.0 < 0.25 AS v FROM g), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE v) AS m, min(k) AS lo, max(k) AS hi FROM f), r AS (SELECT k, n, CASE WHEN m = 0 THEN k = lo WHEN m = n AND n > 1 THEN k <> hi ELSE v END AS v FROM f CROSS JOIN s) SELECT k AS key, v AS validation, NOT v OR n = 1 AS train, n > 1 AS held_out FROM r")
 def d02(spark, sf):
-    k = outcomes(spark, sf, "task_family").where(F.col("task_family").isNotNull()).select(F.col("task_family").alias("key")).distinct()
-    return k.select("key", (stable_fraction(F.concat(F.lit("v2:"), "key")) < 0.25).alias("validation"))
+    """Task families split by hash, neither side empty."""
+    return group_split(outcomes(spark, sf, "task_family").select(F.col("task_family").alias("key")), "v2", 0.25)
 
 
 @query("d03_ordered_split", f"WITH {C}, g AS (SELECT DISTINCT task FROM c), r AS (SELECT task, row_number() OVER (ORDER BY task) AS i, count(*) OVER () AS n FROM g) SELECT task, i > n - round_even(n * 0.25, 0) AS validation FROM r")

@@ -150,12 +150,34 @@ def a10(spark, sf_dir):
     return per.groupBy(F.col("action").alias("value")).agg(F.sum("n").alias("n"), F.count("*").alias("suites"))
 
 
-_PROFILE = ["family", "source_type", "split", "repo"]
+#: Histograms of the corpus of tasks: field, SQL and column.
+_PROFILE = {
+    "family": ("family", lambda: F.col("family")),
+    "source_type": ("source_type", lambda: F.col("source_type")),
+    "split": ("split", lambda: F.col("split")),
+    "repo": ("repo", lambda: F.col("repo")),
+    "test": ("test", lambda: F.col("test")),
+    "max_steps": ("max_steps::VARCHAR", lambda: F.col("max_steps")),
+    "action": ("preferred.action", lambda: F.col("preferred.action")),
+    "has_preferred": ("(preferred IS NOT NULL)::VARCHAR", lambda: F.col("preferred").isNotNull()),
+    "name_words": ("len(string_split(name, '_'))::VARCHAR", lambda: F.size(F.split("name", "_"))),
+    "name_first": ("string_split(name, '_')[1]", lambda: F.split("name", "_")[0]),
+    "has_prompt": ("(prompt IS NOT NULL)::VARCHAR", lambda: F.col("prompt").isNotNull()),
+    "created": ("strftime(created_at, '%Y-%m')", lambda: F.date_format("created_at", "yyyy-MM")),
+    "params": ("coalesce(len(map_keys(preferred.params)), 0)::VARCHAR", lambda: F.coalesce(F.size(F.map_keys("preferred.params")), F.lit(0))),
+}
+
+
+@query("a11_corpus_profile", f"WITH {T} " + " UNION ALL ".join(f"SELECT '{f}' AS field, {e} AS value, count(*) AS n FROM t GROUP BY 2" for f, (e, _) in _PROFILE.items()) + " UNION ALL SELECT 'param', k, count(*) FROM (SELECT unnest(map_keys(preferred.params)) AS k FROM t) GROUP BY 2")
+def a11(spark, sf_dir):
+    return histogram(tasks(spark, sf_dir), {f: c() for f, (_, c) in _PROFILE.items()} | {"param": F.map_keys("preferred.params")})
 
 
-@query("a11_corpus_profile", f"WITH {T} " + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, count(*) AS n FROM t GROUP BY 2" for f in _PROFILE) + " UNION ALL SELECT 'param', k, count(*) FROM (SELECT unnest(map_keys(preferred.params)) AS k FROM t) GROUP BY 2")
-def a11(spark, sf_dir):
-    return histogram(tasks(spark, sf_dir), {f: F.col(f) for f in _PROFILE} | {"param": F.map_keys("preferred.params")})
+@query("a11_key_sets", f"WITH {C} SELECT coalesce(array_to_string(list_sort(map_keys(params)), ','), '(none)') AS keys, count(*) AS n FROM c GROUP BY 1")
+def a11_keys(spark, sf_dir):
+    """Which sets of parameters occur, and how often."""
+    keys = F.coalesce(F.array_join(F.array_sort(F.map_keys("params")), ","), F.lit("(none)"))
+    return outcomes(spark, sf_dir, "params").groupBy(keys.alias("keys")).agg(F.count("*").alias("n"))
 
 
 @query("a11_field_presence", f"WITH {T} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS present, count(*) - count({f}) AS missing FROM t" for f in ("name", "family", "prompt", "repo", "source_type", "split", "preferred", "max_steps")))
@@ -166,10 +188,25 @@ def a11_presence(spark, sf_dir):
     return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("present"), (F.col("all_") - F.col(f)).alias("missing")) for f in fields])).alias("x")).select("x.*")
 
 
-@query("a12_transition_histograms", f"""WITH {TR} SELECT 'status' AS field, outcome.status AS value, count(*) AS n FROM tr GROUP BY 2 UNION ALL SELECT 'validation', validation.status, count(*) FROM tr GROUP BY 2
-UNION ALL SELECT 'feature', f, count(*) FROM (SELECT unnest(structured_action.features) AS f FROM tr) GROUP BY 2 UNION ALL SELECT 'command', f, count(*) FROM (SELECT unnest(validation.commands) AS f FROM tr) GROUP BY 2""")
+#: Histograms of transitions: field, SQL and column; of the last four the elements are counted.
+_HISTOGRAMS = {
+    "schema_version": "schema_version",
+    "record_kind": "source_outcome.record_kind",
+    "action": "structured_action.kind",
+    "repo_mode": "structured_action.repo_mode",
+    "task_type": "structured_action.task_type",
+    "outcome_kind": "outcome.kind",
+    "status": "outcome.status",
+    "failure_kind": "outcome.failure_kind",
+    "validation": "validation.status",
+}
+_LISTS = {"feature": "structured_action.features", "target_file": "structured_action.target_files", "command": "validation.commands"}
+
+
+@query("a12_transition_histograms", f"WITH {TR} " + " UNION ALL ".join(f"SELECT '{f}' AS field, {e} AS value, count(*) AS n FROM tr GROUP BY 2" for f, e in _HISTOGRAMS.items()) + " UNION ALL SELECT 'passed', outcome.passed::VARCHAR, count(*) FROM tr GROUP BY 2 " + "".join(f" UNION ALL SELECT '{f}', x, count(*) FROM (SELECT unnest({e}) AS x FROM tr) GROUP BY 2" for f, e in _LISTS.items()))
 def a12(spark, sf_dir):
-    return histogram(transitions(spark, sf_dir).select("outcome", "validation", "structured_action"), {"status": F.col("outcome.status"), "validation": F.col("validation.status"), "feature": F.col("structured_action.features"), "command": F.col("validation.commands")})
+    fields = {f: F.col(e) for f, e in (_HISTOGRAMS | _LISTS).items()} | {"passed": F.col("outcome.passed")}
+    return histogram(transitions(spark, sf_dir).select("schema_version", "source_outcome", "outcome", "validation", "structured_action"), fields)
 
 
 @query("a15_confusion", f"WITH {TR} SELECT prompt_jepa_target.summary.outcome_status AS expected, outcome.status AS predicted, count(*) AS n FROM tr GROUP BY 1, 2")

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from quarrymint.functions.hashing import percent64, percent256, short_id, signed_bucket, stable_fraction, stable_split
-from quarrymint.functions.text import bucket, char_ngrams, diff_counts, jaccard, lexical_variants, ngrams, normalized, tokens
+from quarrymint.functions.text import bucket, char_ngrams, diff_counts, jaccard, ngrams, normalized, tokens
 from quarrymint.functions.vec import cosine, dot, euclidean, mean_abs_delta, norm, normalize
 from quarrymint.plans.base import TR, C, T, outcomes, register, tasks, transitions
 from quarrymint.session import read
@@ -44,25 +44,6 @@ def x03_chars(spark, sf):
     return tasks(spark, sf).select(F.explode(char_ngrams(F.col("name"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-STOP = ["a", "an", "and", "the", "is", "of", "to", "for", "in", "it"]
-
-
-@query("x04_lexical_variants")
-def x04(spark, sf):
-    return tasks(spark, sf).select(F.explode(lexical_variants(tokens(F.col("prompt")), STOP)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
-@query("x05_flat_features", f"""WITH {TR}, x AS (SELECT 'action=' || structured_action.kind AS f FROM tr WHERE structured_action.kind IS NOT NULL UNION ALL SELECT 'mode=' || structured_action.repo_mode FROM tr WHERE structured_action.repo_mode IS NOT NULL
-UNION ALL SELECT 'features:len=' || len(structured_action.features) FROM tr WHERE structured_action.features IS NOT NULL UNION ALL SELECT 'features:item=' || f FROM (SELECT unnest(structured_action.features) AS f FROM tr) WHERE f IS NOT NULL) SELECT f AS feature, count(*) AS n FROM x GROUP BY f""")
-def x05(spark, sf):
-    a = F.col("structured_action")
-    parts = F.concat(
-        F.array(F.concat(F.lit("action="), a["kind"]), F.concat(F.lit("mode="), a["repo_mode"]), F.when(a["features"].isNotNull(), F.concat(F.lit("features:len="), F.size(a["features"]).cast("string")))),
-        F.coalesce(F.transform(a["features"], lambda f: F.concat(F.lit("features:item="), f)), F.array().cast("array<string>")),
-    )
-    return transitions(spark, sf).select(F.explode(F.array_compact(parts)).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
-
-
 @query("x07_x08_signed_hash", f"WITH {T}, w AS (SELECT task_id, unnest({_TOK}) AS token FROM t), h AS (SELECT task_id, ('0x' || substr(sha256(token), 1, 16))::UBIGINT % 64 AS b, CASE WHEN ('0x' || substr(sha256(token), 17, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM w) SELECT task_id, b::INT AS bucket, sum(s)::DOUBLE AS value FROM h GROUP BY 1, 2")
 def x08(spark, sf):
     """Feature hashing in long form: (row, bucket, signed count)."""
@@ -306,7 +287,3 @@ def v05(spark, sf):
     return tasks(spark, sf).select(F.explode(F.array_compact(F.array(*rules))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("v09_nonnegative_usage", f"WITH {C} SELECT count(*) FILTER (WHERE diff_added_lines < 0 OR diff_removed_lines < 0) AS negative, count(*) = 0 OR bool_and(coalesce(diff_added_lines, 0) >= 0) AS holds FROM c")
-def v09(spark, sf):
-    df = outcomes(spark, sf, "diff_added_lines", "diff_removed_lines")
-    return df.agg(F.count_if((F.col("diff_added_lines") < 0) | (F.col("diff_removed_lines") < 0)).alias("negative"), F.coalesce(F.bool_and(F.coalesce("diff_added_lines", F.lit(0)) >= 0), F.lit(True)).alias("holds"))
