@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymint.session import cut, drop
+from quarrymint.session import cut, drop, skew_join
 
 
 def outer_with_status(left: DataFrame, right: DataFrame, keys: Sequence[str], left_name: str, right_name: str) -> DataFrame:
@@ -67,11 +67,13 @@ def overlap_counts(df: DataFrame, group: Sequence[str], start: str, end: str) ->
 
 def leave_one_out(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean of ``value`` over the other rows of the key, (sum - x) / (n - 1); null where there are none. Sums are partial
-    aggregates, rounded to 9 decimals so that the order of summation does not tip the last of the 6 that come out (half up, in double arithmetic), and the join back is on the many side."""
+    aggregates, rounded to 9 decimals so that the order of summation does not tip the last of the 6 that come out (half up, in
+    double arithmetic); a hot key's rows are spread over several tasks for the join back. Null keys give no rows."""
+    df = cut(df, "leave-one-out")
     sums = df.groupBy(*keys).agg(F.round(F.sum(value), 9).alias("__s"), F.count(value).alias("__n"))
     x = F.coalesce(F.col(value), F.lit(0.0))
     others = F.col("__n") - F.col(value).isNotNull().cast("int")
-    return df.join(sums, list(keys)).withColumn("others_mean", F.floor(F.try_divide(F.col("__s") - x, others) * 1000000.0 + 0.5) / 1000000.0).drop("__s", "__n")
+    return skew_join(df, sums, list(keys), F.xxhash64(*df.columns)).withColumn("others_mean", F.floor(F.try_divide(F.col("__s") - x, others) * 1000000.0 + 0.5) / 1000000.0).drop("__s", "__n")
 
 
 def bounded_walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

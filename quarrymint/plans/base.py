@@ -24,6 +24,11 @@ def outcomes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 PLAN = ["task", "ph", "plan"]
 
 
+def group_text(*columns: str) -> Column:
+    """One text for a group of values, so that null is a value too and the group can be joined on."""
+    return F.to_json(F.struct(*columns))
+
+
 def ORDER() -> Column:  # noqa: N802
     """Rank order within a plan; a function, since columns need a session and these modules are imported without one."""
     return order_key("rank_index", "candidate_id")

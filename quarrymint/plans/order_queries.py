@@ -12,9 +12,9 @@ from quarrymint.operators.splits import group_split
 from quarrymint.operators.learners import fit_pairwise, fit_perceptron, linear_score, predict
 from quarrymint.operators.ranking import evenly_spaced, evenly_spaced_by, first_label, first_where, round_robin, top_k
 from quarrymint.operators.retrieval import encode_text, knn, prototype_score
-from quarrymint.plans.base import ORDER, PLAN, TR, C, O, T, outcomes, register, sort_order, tasks, transitions
+from quarrymint.plans.base import ORDER, PLAN, TR, C, O, T, group_text, outcomes, register, sort_order, tasks, transitions
 from quarrymint.plans.rollup_queries import placed
-from quarrymint.session import read
+from quarrymint.session import cut, read, skew_join
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,11 +87,10 @@ def w12(spark, sf):
 def w13(spark, sf):
     """Rows of the same plan, file and symbol, by aggregate and join back instead of a window over a hot plan."""
     df = outcomes(spark, sf, "file_path", "symbol", "action")
-    k = df.where(F.col("symbol").isNotNull()).groupBy(*[F.col(c).alias(f"{c}_") for c in (*PLAN, "file_path", "symbol")]).agg(F.count("*").alias("n"), F.bool_or(F.col("action") == "rename_symbol").alias("r"))
-    on = F.lit(True)
-    for c in (*PLAN, "file_path"):
-        on = on & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    j = df.join(k, on & (F.col("symbol") == F.col("symbol_")), "left")
+    k = F.when(F.col("symbol").isNotNull(), group_text(*PLAN, "file_path", "symbol"))
+    df = cut(df.select("candidate_id", "action", k.alias("k")), "competitors")
+    per = df.where(F.col("k").isNotNull()).groupBy("k").agg(F.count("*").alias("n"), F.bool_or(F.col("action") == "rename_symbol").alias("r"))
+    j = skew_join(df, per, ["k"], F.col("candidate_id"), "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     return j.select("candidate_id", n.alias("same_symbol"), F.greatest(n - 1, F.lit(0)).cast("long").alias("competitors"), F.coalesce(F.col("r") & (F.col("action") != "rename_symbol"), F.lit(False)).alias("rename_sibling"))
 

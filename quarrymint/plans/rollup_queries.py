@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrymint.operators.ranking import first_label, first_where
 from quarrymint.operators.rollup import by_dimensions, calibration, centroids, confusion, histogram, majority, rank_metrics, ratio, ratio0, sigmoid
-from quarrymint.plans.base import ORDER, PLAN, C, O, T, TR, outcomes, register, tasks, transitions
-from quarrymint.session import read
+from quarrymint.plans.base import ORDER, PLAN, C, O, T, TR, group_text, outcomes, register, tasks, transitions
+from quarrymint.session import cut, read, skew_join
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -315,10 +315,10 @@ def a06(spark, sf_dir):
         "random": F.struct(F.lit(0.0), F.sha2(F.concat(F.lit("order:"), F.col("candidate_id").cast("string")), 256), F.col("candidate_id")),
     }
     kinds = "struct<a:double,b:string,c:long>"
-    long = df.select(*PLAN, "passed", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), k.cast(kinds).alias("key")) for s, k in keys.items()])).alias("x")).select(*PLAN, "passed", "x.strategy", "x.key")
-    best = long.groupBy("strategy", *PLAN).agg(F.min(F.when(F.col("passed"), F.col("key"))).alias("best"), F.count("*").alias("n"))
-    b = best.select(F.col("strategy").alias("s_"), *[F.col(c).alias(f"{c}_") for c in PLAN], "best")
-    on = (F.col("strategy") == F.col("s_")) & F.col("task").eqNullSafe(F.col("task_")) & F.col("ph").eqNullSafe(F.col("ph_")) & F.col("plan").eqNullSafe(F.col("plan_"))
-    places = long.join(b, on).groupBy("strategy", *PLAN).agg((F.count_if(F.col("key") < F.col("best")) + 1).alias("p"), F.bool_or(F.col("best").isNotNull()).alias("has"), F.count("*").alias("n"))
+    rows = cut(df.select("candidate_id", group_text(*PLAN).alias("k"), F.coalesce("passed", F.lit(False)).alias("passed"), *[c.cast(kinds).alias(f"key_{s}") for s, c in keys.items()]), "rank-keys")
+    best = rows.groupBy("k").agg(*[F.min(F.when(F.col("passed"), F.col(f"key_{s}"))).alias(f"best_{s}") for s in keys])
+    both = skew_join(rows, best, ["k"], F.col("candidate_id"))
+    wide = both.groupBy("k").agg(F.count("*").alias("n"), F.bool_or("passed").alias("has"), *[(F.count_if(F.col(f"key_{s}") < F.col(f"best_{s}")) + 1).alias(f"p_{s}") for s in keys])
+    places = wide.select("n", "has", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(f"p_{s}").alias("p")) for s in keys])).alias("x")).select("n", "has", "x.*")
     first = F.when(F.col("has"), F.col("p"))
     return places.groupBy("strategy").agg(*rank_metrics(first, F.col("n"), 3))
