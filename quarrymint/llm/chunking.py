@@ -15,6 +15,8 @@ from quarrymint.llm.tokens import VOCABULARY, encoder, small_batches, spread, to
 KINDS = ("paragraph", "line", "sentence", "word", "character", "end")
 #: A better boundary is taken only if it leaves the piece at least so full.
 MIN_FILL = 0.5
+#: Least limit: a piece must hold a few characters of several tokens each.
+LEAST_LIMIT = 32
 
 
 def boundaries(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -88,9 +90,9 @@ def split_text(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> l
         texts = [data[at[a] : at[b]].decode() for a, b in zip(starts, ends, strict=True)]
         counts = [len(e.encode_ordinary(t)) for t in texts]
         most = max(counts)
-        if most <= limit or room <= 8:
+        if most <= limit:
             break
-        room = max(8, room - (most - limit))
+        room = max(1, room - (most - limit))  # at 1 every piece is a token or a character
     out, last_end = [], 0
     first = 0
     chars = np.cumsum((raw & 0xC0) != 0x80)
@@ -109,8 +111,11 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1024, overl
     ``overlap`` tokens before the end of the one before (up to 3 more, so that no character is cut). Null and empty texts
     give no rows; a repeated row gives its pieces again. Nothing is shuffled but the input's own rows, to spread them.
     A byte-level tokenizer never has more tokens than the text has bytes, so texts of at most ``limit`` bytes are
-    filtered out in the scan's stage, before Python.
+    filtered out in the scan's stage, before Python. A limit under LEAST_LIMIT, or an overlap that is negative or more than
+    half of the limit, is an error.
     """
+    if limit < LEAST_LIMIT or not 0 <= overlap <= limit // 2:
+        raise ValueError(f"the limit must be at least {LEAST_LIMIT}, the overlap at most half of it")
 
     def cut_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)

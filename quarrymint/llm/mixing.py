@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrymint.session import cut
 
-#: Bits of the hash that one level of the histogram splits by; levels until the hash is used up.
-BITS, LEVELS = 12, 5
+#: Bits of the hash in use, and most rows of one level's histogram, all sources together: the driver sees no more.
+HASH_BITS, MOST_CELLS = 60, 1 << 20
 #: Most rows that the table of targets may have: it is collected, and its size bounds the histograms that are.
 MOST_SOURCES = 100_000
 
@@ -32,6 +32,11 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(""))
 
 
+def level_bits(sources: int) -> int:
+    """Bits that one level of the histogram splits by: as many of 12 as so many sources leave room for."""
+    return next(b for b in (12, 10, 6, 5, 4, 3, 2, 1) if sources << b <= MOST_CELLS or b == 1)
+
+
 def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[Budget]:
     """Repeats and hash thresholds for each source of ``targets`` (source, target_share, max_repeats), from ``sized``
     (source, h in [0, 2^60), n_tokens).
@@ -42,7 +47,9 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
     if len(rows) > MOST_SOURCES:
         raise ValueError("too many sources")
     budgets = {r["source"]: Budget(r["source"], r["target_share"] or 0.0, max(0, r["max_repeats"] or 0)) for r in rows}
-    shift = BITS * (LEVELS - 1)
+    bits = level_bits(len(budgets))
+    levels_ = HASH_BITS // bits
+    shift = bits * (levels_ - 1)
     first = sized.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c")).collect()
     levels: dict[str, dict[int, int]] = {s: {} for s in budgets}
     for r in first:
@@ -59,14 +66,14 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
             if b.full < b.max_repeats and b.budget > b.full * b.available:
                 open_[s] = b.budget - b.full * b.available
     edge = {s: 0 for s in open_}
-    for level in range(LEVELS):
-        shift = BITS * (LEVELS - 1 - level)
+    for level in range(levels_):
+        shift = bits * (levels_ - 1 - level)
         for s in list(open_):
             here = levels.get(s, {})
-            for bucket in range(edge[s], edge[s] + (1 << BITS)):
+            for bucket in range(edge[s], edge[s] + (1 << bits)):
                 t = here.get(bucket, 0)
                 if t > open_[s]:
-                    if level == LEVELS - 1 and open_[s] * 2 >= t:  # rows of one hash: nearer with them than without
+                    if level == levels_ - 1 and open_[s] * 2 >= t:  # rows of one hash: nearer with them than without
                         bucket += 1
                     break
                 open_[s] -= t
@@ -75,27 +82,27 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
                 del open_[s]
             edge[s] = bucket
             budgets[s].threshold = edge[s] << shift
-        if not open_ or level == LEVELS - 1:
+        if not open_ or level == levels_ - 1:
             break
         spark = sized.sparkSession
         bounds = spark.createDataFrame([(s, edge[s]) for s in open_], "source string, __edge long")
         finer = (
             sized.join(F.broadcast(bounds), "source")
             .where(F.shiftright("h", shift) == F.col("__edge"))
-            .groupBy("source", F.shiftright("h", shift - BITS).alias("b"))
+            .groupBy("source", F.shiftright("h", shift - bits).alias("b"))
             .agg(F.sum("n_tokens").alias("t"))
             .collect()
         )
         levels = {s: {} for s in open_}
         for r in finer:
             levels[r["source"]][r["b"]] = r["t"]
-        edge = {s: edge[s] << BITS for s in open_}
+        edge = {s: edge[s] << bits for s in open_}
     return list(budgets.values())
 
 
 def with_hash(df: DataFrame, key: str, source: str, size: str) -> DataFrame:
     """``key``, normalized source, size, and a 60-bit hash of the key."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`")), 64 - BITS * LEVELS)
+    h = F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`")), 64 - HASH_BITS)
     return df.select(F.col(f"`{key}`").alias("k"), source_name(F.col(f"`{source}`")).alias("source"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("n_tokens"), h.alias("h"))
 
 
@@ -105,12 +112,14 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame, tot
     Each source of ``targets`` gets ``target_share`` of ``total_tokens`` (by default all tokens of the listed sources).
     A source with too few tokens has all its records repeated, the last time in part, but no record comes more than
     ``max_repeats`` times; what it lacks is in the report, beside its share of the total asked for (share_of_total) and of
-    the mixture as it came out (actual_share, higher for the others where a source lacks tokens). Sources are compared in one spelling; records of a source that
+    the mixture as it came out (actual_share, higher for the others where a source lacks tokens). Sources are compared in one spelling; targets that are one source in it are one target, with the sum of
+    their shares and the greatest number of repeats; records of a source that
     is not listed, null or blank are in no target and stay out, and the report counts them under a null source. Records
     without tokens belong to the mixture where their hash does. Which records are kept depends on their key's hash alone.
     """
     spark = df.sparkSession
     goals = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats"))
+    goals = goals.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     sized = cut(with_hash(df, key, source, size), "mixing-sized")
     listed = [r[0] for r in goals.select("source").limit(MOST_SOURCES).collect()]
     names = spark.createDataFrame([(s,) for s in listed], "source string")

@@ -80,3 +80,9 @@ def test_boundary_kinds():
     # before: the full stop, the space after it, b, the first and the second line break, c
     assert boundaries(raw, at).tolist()[1:7] == [4, 2, 2, 3, 1, 0]
     assert boundaries(raw, at)[9] == 9
+
+
+@pytest.mark.parametrize("limit, overlap", [(31, 0), (100, 51), (100, -1)])
+def test_limits_that_cannot_be_kept_are_refused(spark, limit, overlap):
+    with pytest.raises(ValueError):
+        split_oversized(spark.createDataFrame([], "id long, t string"), "id", "t", limit, overlap)

@@ -112,3 +112,21 @@ def test_empty_tables(spark):
     assert mixture(spark, [])[0] == []
     got, report = mixture(spark, data(20), [])
     assert got == [] and set(report) == {None}
+
+
+def test_targets_of_one_source_are_one_target(spark):
+    rows = data(2000)
+    one = mixture(spark, rows, [("big", 0.5, 1), ("small source", 0.5, 2)], 5_000)
+    two = mixture(spark, rows, [("big", 0.5, 1), ("small source", 0.2, 1), ("SMALL-SOURCE", 0.3, 2)], 5_000)
+    assert Counter(one[0]) == Counter(two[0]) and one[1]["small_source"]["mixed_tokens"] == two[1]["small_source"]["mixed_tokens"]
+
+
+def test_the_histogram_stays_small_for_many_sources(spark, monkeypatch):
+    import quarrymint.llm.mixing as mixing
+
+    assert [mixing.level_bits(n) for n in (1, 9, 256, 257, 100_000)] == [12, 12, 12, 10, 3]
+    rows = data(1500)
+    want = mixture(spark, rows, total=9_000)[0]
+    monkeypatch.setattr(mixing, "MOST_CELLS", 64)
+    got = mixture(spark, rows, total=9_000)[0]
+    assert Counter(got) == Counter(want)
