@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nested_queries", "rollup_queries", "scalar_queries", "join_queries", "order_queries", "io_queries", "model_queries", "tree_queries")
+MODULES = ("nested_queries", "rollup_queries", "scalar_queries", "join_queries", "order_queries", "io_queries", "model_queries", "tree_queries", "record_queries")
 
 
 def _gather(attribute: str) -> dict:
