@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from quarrymint.functions.hashing import stable_fraction
+from quarrymint.operators.duplicates import near_duplicates
 from quarrymint.operators.ranking import numbered
 from quarrymint.operators.retrieval import knn
 from quarrymint.operators.rollup import ratio, sigmoid
@@ -187,3 +188,11 @@ def r09_modes(spark, sf):
     target = _predicted_hits(spark, sf).select("query", "hit_1", "hit_3").withColumn("mode", F.lit("predicted_target"))
     one, three, n = F.count_if("hit_1"), F.count_if("hit_3"), F.count("*")
     return plain.unionByName(target).groupBy("mode").agg(n.alias("queries"), one.alias("top_1"), three.alias("top_3"), ratio(one, n).alias("top_1_accuracy"), ratio(three, n).alias("top_3_accuracy"))
+
+
+@query("j08_d06_near_duplicates")
+def j08(spark, sf):
+    """Prompts that almost occur on another side of the split: pairs of classes of equal prompts."""
+    split = F.lower(F.trim("split"))
+    side = F.when(split.isin("validation", "val", "dev"), "validation").when(split.isin("train", "test"), split)
+    return near_duplicates(tasks(spark, sf), "task_id", "prompt", side)
