@@ -12,6 +12,9 @@ from quarrymint.llm.grammar.languages import EXTENSIONS, parses
 from quarrymint.llm.tokens import small_batches
 from quarrymint.session import cut, skew_join
 
+#: Rows a core from which on the texts fill enough partitions by their size alone.
+TASK_ROWS = 50_000
+
 
 def check_sources(df: DataFrame, key: str, path: str, sides: Sequence[tuple[str, str]], carry: Sequence[str] = ()) -> DataFrame:
     """``key``, side, language, the ``carry`` columns and ``valid`` for each source of a known language.
@@ -31,7 +34,7 @@ def check_sources(df: DataFrame, key: str, path: str, sides: Sequence[tuple[str,
     extra = [f"x{i}" for i in range(len(carry))]
     rows = picked.select("k", *extra, "language", F.explode("t").alias("t")).select("k", *extra, "language", "t.side", "t.text").where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
     rows = rows.withColumn("h1", F.xxhash64("language", "text")).withColumn("h2", F.xxhash64("text", F.lit(5)))
-    marked = cut(rows.drop("text"), "parsing-rows")
+    marked = cut(rows.drop("text"), "parsing-rows", counts={"rows": F.count(F.lit(1))})
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -39,6 +42,9 @@ def check_sources(df: DataFrame, key: str, path: str, sides: Sequence[tuple[str,
             yield part.loc[wrong, ["h1", "h2"]]
 
     once = rows.groupBy("h1", "h2").agg(F.first("language").alias("language"), F.first("text").alias("text"))
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if marked.counted["rows"] < tasks * TASK_ROWS:  # so few texts would be put into a few partitions by their bytes
+        once = once.repartition(2 * tasks)
     wrong = small_batches(once).mapInPandas(judge, "h1 long, h2 long")
     wrong = cut(wrong, "parsing-invalid").withColumn("wrong", F.lit(True))
     out = skew_join(marked, wrong, ["h1", "h2"], F.concat_ws("-", F.col("k").cast("string"), "side"), "left")
